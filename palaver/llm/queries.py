@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, quality, tokens
+from . import chat, minhash, mixing, packing, quality, tokens
 from .common import read
 
 
@@ -27,11 +27,15 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op5_quality_rules, op6_source_mixing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts)}
 
 _CONTROL = chat.CONTROL.replace("'", "''")
 SQL = {
@@ -69,4 +73,15 @@ SQL = {
                      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
+    "op7_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        rare AS (SELECT g, count(*) AS df FROM s GROUP BY g HAVING count(*) > 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN rare USING (g) JOIN s y USING (g) WHERE x.doc_id != y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r(a, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.m),
+        k AS (SELECT a, min(m) AS m FROM r GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.m AS component_id, d.doc_id = k.m AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.a = d.doc_id""",
 }
