@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: The words of a text, everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task turns into arrays at once; a longer text is taken alone, and whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
