@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, packing, quality, tokens
+from . import chat, minhash, mixing, packing, passages, quality, tokens
 from .common import read
 
 
@@ -31,11 +31,15 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removed(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts, op9_repeated_passages)}
 
 _CONTROL = chat.CONTROL.replace("'", "''")
 SQL = {
