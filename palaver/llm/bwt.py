@@ -1,9 +1,9 @@
 """Merging of Burrows-Wheeler transforms by refining their interleave.
 
 A shard is a byte string whose parts are each ended by a zero. Its rotations are sorted by prefix doubling. Two shards are
-merged without sorting their suffixes again: which shard each merged row comes from is refined one symbol a round, by
-putting the rows, in their present order, in the order of the symbols before them. After h rounds rows are in the order of
-their first h symbols, and rows that share these form a block; a block that splits in round h has a common prefix of h - 1.
+merged without sorting their suffixes again: which shard each merged row comes from is refined two symbols a round, by
+putting the rows, in their present order, in the order of the two symbols before them. After h rounds rows are in the order
+of their first 2 * h symbols, and rows that share these form a block; one that splits in round h had 2 * h - 2 in common.
 """
 
 from __future__ import annotations
@@ -35,19 +35,22 @@ def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def merge(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in the text left + right by merged row, and the number of each row's block of equal first symbols, so many."""
+    """Starts in the text left + right by merged row, and the number of each row's block of equal first symbols, an even number of them."""
     shards = (left, right)
     orders = [sorted_rotations(s, depth) for s in shards]
-    before = [np.take(s, o - 1) for s, o in zip(shards, orders, strict=True)]  # the transform: the symbol before each rotation
+    # the transform, two symbols wide: those before each rotation
+    before = [np.take(s, o - 2, mode="wrap").astype(np.uint16) << 8 | np.take(s, o - 1, mode="wrap") for s, o in zip(shards, orders, strict=True)]
     second = np.repeat(np.array([False, True]), (len(left), len(right)))
     block = np.zeros(len(second), np.int32)
-    symbol = np.empty(len(second), np.uint8)
-    for _ in range(depth):
-        symbol[~second], symbol[second] = before
-        order = np.argsort(symbol, kind="stable")
-        symbol, origin = symbol[order], block[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (origin[1:] != origin[:-1])
+    symbols = np.empty(len(second), np.uint16)
+    new = np.ones(len(second), bool)
+    for _ in range(-(-depth // 2)):
+        symbols[second] = before[1]
+        symbols[~second] = before[0]
+        order = np.argsort(symbols, kind="stable")
+        symbols, origin = symbols[order], block[order]
+        np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
+        new[1:] |= origin[1:] != origin[:-1]
         second, block = second[order], np.cumsum(new, dtype=np.int32)
     start = np.empty(len(second), np.int64)
     start[~second], start[second] = orders[0], orders[1] + len(left)

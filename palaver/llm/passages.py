@@ -29,7 +29,7 @@ from .common import as_bytes, byte_hashes, chunks, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that are merged at once; the contexts of one anchor stay together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 _NO_ID = -(1 << 63)
 _NUM_BITS, _LOW = 8, 255  # a place and a number of windows in one long
 
