@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, packing, passages, quality, tokens
+from . import chat, licences, minhash, mixing, neighbours, packing, passages, quality, tokens
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.assembled(turns.unionByName(extra)))
 
 
+def op4_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(read(spark, sf_dir, "documents"))
 
@@ -39,7 +43,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts, op9_repeated_passages)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op4_vector_neighbours, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts, op9_repeated_passages, op10_license_scan)}
 
 _CONTROL = chat.CONTROL.replace("'", "''")
 SQL = {
