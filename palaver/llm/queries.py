@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licences, minhash, mixing, neighbours, packing, passages, quality, tokens
+from . import chat, extraction, licences, minhash, mixing, neighbours, packing, passages, quality, tokens
 from .common import read
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(read(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op4_vector_neighbours, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts, op9_repeated_passages, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_best_fit_packing, op3_chat_formatting, op4_vector_neighbours, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts, op9_repeated_passages, op10_license_scan)}
 
 _CONTROL = chat.CONTROL.replace("'", "''")
 SQL = {
