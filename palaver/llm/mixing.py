@@ -20,6 +20,9 @@ from .common import stored, word_count
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
 
+#: Sources up to which their targets are broadcast to the documents; beyond, both are shuffled, and hot sources split.
+BROADCAST_SOURCES = 200_000
+
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """__source, __source_size, __target of sizes (__source, __size); one row a source."""
@@ -41,7 +44,10 @@ def chance(doc_id: Column, seed: int = SEED) -> Column:
 
 def planned(docs: DataFrame, sizes: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """docs with __size and __source, and each row's __source_size, __target and __copies."""
-    joined = docs.join(targets(sizes, **how).withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
+    goals = stored(targets(sizes, **how).withColumnRenamed("__source", "__of"))
+    if goals.count() <= BROADCAST_SOURCES:
+        goals = F.broadcast(goals)
+    joined = docs.join(goals, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
     extra = (chance(F.col("__id"), seed) < rate - F.floor(rate)).cast("int")
     return joined.withColumn("__copies", (F.floor(rate) + extra).cast("int"))
