@@ -1 +1,6 @@
 """Plans of Palaver."""
+
+from . import archive, queries
+
+#: Every query by name, with its SQL.
+ALL = queries.ALL | archive.ALL

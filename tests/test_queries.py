@@ -1,8 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from palaver.plans.queries import ALL
+from palaver.operators.history import bigrams, repeated_questions
+from palaver.operators.lookups import allowed, by_prefix, neighbourhood, titles
+from palaver.operators.ranking import one_edit, relevance
+from palaver.plans import ALL
 from palaver.sources.transcripts import parsed
 
 
@@ -32,3 +36,21 @@ def test_transcripts_skip_malformed_lines(spark):
     df = spark.createDataFrame([(v, "p", i) for i, v in enumerate(lines)], "value string, path string, n long")
     got = parsed(df, "message_blocks").orderBy("seq").collect()
     assert [(r.session_id, r.role, r.text, r.malformed) for r in got] == [("s", "user", "plain", False), ("s", "assistant", "a\nb", False), ("p", None, None, True)]
+
+
+def test_one_edit_counts_characters_and_swaps(spark):
+    pairs = [("abc", "acb", True), ("ca", "abc", False), ("a", "ab", True), ("ab", "ba", True), ("é", "e", True), ("tion", "tioné", True), ("abcd", "badc", False), ("x", "x", True), ("", "a", True), ("abc", "abcde", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert df.where(one_edit(F.col("a"), F.col("b")) != F.col("want")).collect() == []
+
+
+def test_policy_takes_the_most_specific_rule(spark):
+    rules = {"imported": False, "imported:box": True, "*": True}
+    df = spark.createDataFrame([("local",), ("imported:box",), ("imported:other",), (None,)], "origin string")
+    assert [r.ok for r in df.select(allowed(F.col("origin"), rules).alias("ok")).collect()] == [True, True, False, True]
+
+
+def test_retrieval_tiers_take_empty_tables(spark):
+    m = spark.createDataFrame([], "session_id long, seq long, role string, text string, ts timestamp")
+    for df in (relevance(m, ["a", "b"]), neighbourhood(m, F.col("text") == "a"), titles(m), repeated_questions(m), bigrams(m), by_prefix(m, "1")):
+        assert df.count() == 0
