@@ -7,7 +7,9 @@
    this for its own occurrences first, so that a passage in very many documents reaches the shuffle once a chunk.
 3. Different contexts of one anchor. Their bytes are gathered by anchor; shards of them are sorted alone, their
    Burrows-Wheeler transforms merged by interleave refinement (see ``bwt``), and the blocks of rows that share
-   ``LENGTH`` symbols are the repeated strings: all but the earliest in a block are covered.
+   ``LENGTH`` symbols are the repeated strings: all but the earliest in a block are covered. An anchor with more than
+   ``MOST_CONTEXTS`` contexts doesn't meet in one task: each of its windows goes where its own hash sends it, without its
+   bytes, and all but the earliest of equal hashes are covered; each batch settles its own windows first.
 4. The covered ranges of a document meet its text and are cut out.
 
 Defined results: a null or empty text has nothing to remove; repeated rows (equal id and text) are one document and keep
@@ -30,6 +32,8 @@ from .common import as_bytes, byte_hashes, chunks, stored
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that are merged at once; the contexts of one anchor stay together.
 BLOCK_BYTES = 1 << 17
+#: Contexts of an anchor that one merge may hold; beyond, its windows meet by their own hashes.
+MOST_CONTEXTS = 1 << 13
 _NO_ID = -(1 << 63)
 _NUM_BITS, _LOW = 8, 255  # a place and a number of windows in one long
 
@@ -93,7 +97,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 def _settled(anchors: DataFrame) -> DataFrame:
-    """doc, place, anchor: covered occurrences (without an anchor), and the first ones of each context if the anchor has several."""
+    """doc, place, anchor, hot: covered occurrences (without an anchor), and the first ones of each context if the anchor has several."""
     by = "PARTITION BY anchor, context"
     seen = anchors.repartition("anchor").selectExpr(
         "*",
@@ -102,7 +106,8 @@ def _settled(anchors: DataFrame) -> DataFrame:
         "min(context) OVER (PARTITION BY anchor) != max(context) OVER (PARTITION BY anchor) AS several",
     )
     late = "(context IS NULL OR doc != d OR place != p)"
-    return seen.where(f"{late} OR several").selectExpr("doc", "place", f"CASE WHEN {late} THEN NULL ELSE anchor END AS anchor").distinct()
+    counted = seen.selectExpr("*", f"{late} AS late").selectExpr("*", "count_if(NOT late) OVER (PARTITION BY anchor) AS contexts")
+    return counted.where("late OR several").selectExpr("doc", "place", "CASE WHEN NOT late THEN anchor END AS anchor", f"NOT late AND contexts > {MOST_CONTEXTS} AS hot").distinct()
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
@@ -126,22 +131,50 @@ def _unzip():
 
 
 def _contexts(docs: DataFrame, several: DataFrame) -> DataFrame:
-    """anchor, doc, place, bytes of each occurrence whose anchor has several contexts."""
-    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
+    """key, doc, place, bytes of each occurrence whose anchor has several contexts, the key being the anchor.
+
+    Those of a hot anchor give a row a window, the key being the window's hash: without bytes, or with none in them if an
+    earlier window of the same batch equals it.
+    """
+    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("wanted"))
 
     def run(batches):
         import pyarrow as pa
 
+        def rows(key, doc, place, parts):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, doc, place, parts), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc", "place", "bytes"])
+
         unzip = _unzip()
         for b in batches:
+            hot: list[tuple] = []
             for doc, zipped, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text, rows = unzip(zipped), []
+                text, out = unzip(zipped), []
                 for w in own:
                     first, n = w["place"] >> _NUM_BITS, w["place"] & _LOW
-                    rows.append((w["anchor"], doc, w["place"], text[first : first + n + LENGTH - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "doc", "place", "bytes"])
-
-    return _zipped(docs).join(wanted, "doc").select("doc", "zipped", "wanted").mapInArrow(run, "anchor long, doc long, place long, bytes binary")
+                    context = text[first : first + n + LENGTH - 1]
+                    if w["hot"]:
+                        at = np.arange(max(0, min(n, len(context) - LENGTH + 1)))
+                        hot.append((byte_hashes(np.frombuffer(context, np.uint8), at, at + LENGTH).view(np.int64), np.full(len(at), doc), (first + at) << _NUM_BITS | 1))
+                    else:
+                        out.append((w["anchor"], doc, w["place"], context))
+                if out:
+                    yield rows(*zip(*out, strict=True))
+            if hot:
+                key, doc, place = (np.concatenate(c) for c in zip(*hot, strict=True))
+                order = np.lexsort((place, doc, key))
+                key, doc, place = key[order], doc[order], place[order]
+                late = _later(key, doc, place)
+                yield rows(np.where(late, doc, key), doc, place, [b"" if x else None for x in late.tolist()])
+
+    return _zipped(docs).join(wanted, "doc").select("doc", "zipped", "wanted").mapInArrow(run, "key long, doc long, place long, bytes binary")
+
+
+def _later(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by all three, have an earlier place with their key."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return (doc != doc[head]) | (place != place[head])
 
 
 def _repeated(contexts: DataFrame) -> DataFrame:
@@ -152,6 +185,7 @@ def _repeated(contexts: DataFrame) -> DataFrame:
 
         held: list[tuple] = []
         size = 0
+        first: tuple = (None, None, None)  # key and place of the first of equal windows
 
         def done():
             anchor, doc, place, parts = zip(*held, strict=True)
@@ -165,16 +199,25 @@ def _repeated(contexts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(doc[part[new]]), pa.array(((place[part[new]] >> _NUM_BITS) + at[new]) << _NUM_BITS | runs)], names=["doc", "place"])
 
         for b in batches:
+            late = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not row[3]:
+                    if row[3] is None and row[0] != first[0]:
+                        first = row
+                    elif row[3] is not None or row[1:3] != first[1:3]:
+                        late.append(row[1:3])
+                    continue
                 if size > BLOCK_BYTES and row[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3])
+            if late:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*late, strict=True)], names=["doc", "place"])
         if len(held) > 1:
             yield done()
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc long, place long")
+    return contexts.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(run, "doc long, place long")
 
 
 def _ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
