@@ -5,7 +5,8 @@ inner product is then the smallest angle. Trees are fitted on a bounded sample:
 the median along the line between two of its members. Every vector is put into one leaf of each tree. For a query the
 leaves of all trees wait in one queue by their least margin on the way from the root, and the first ``VISITS`` are opened;
 queries meet leaves in a co-grouped join, and the exact inner products decide. Of equal vectors only the 21 smallest ids
-can be among anyone's 20 nearest, so the others are left out before the search.
+can be among anyone's 20 nearest, so the others are left out before the search. A leaf that more than ``MEET_ROWS`` vectors
+or queries reach is dealt into parts of both, and each pair of parts meets in a group of its own.
 
 Defined results: vectors that are null, empty, zero or hold a null or a value that isn't finite take no part; nor do those
 of another dimension than most have; a query with fewer than ``k`` candidates gets all of them; ties go to the smaller id;
@@ -18,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mix64, stored
 
 #: Vectors of the sample that trees are fitted on, at most; trees; vectors of a leaf; leaves opened for a query.
 FIT_ROWS, TREES, LEAF_ROWS, VISITS, SEED = 16_384, 8, 512, 64, 23
+#: Vectors, and queries, of a leaf that one group may hold.
+MEET_ROWS = 16_384
 
 
 class Forest:
@@ -119,7 +122,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     sample = _matrix(r.v for r in index.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect())
     forest = spark.sparkContext.broadcast(Forest(_wider(sample, most), min(-(-n // leaf_rows), FIT_ROWS // 8)))  # at most FIT_ROWS / 8 nodes a tree
 
-    def to_leaves(queries: bool):
+    def to_leaves(queries: bool, parts=None):
         def run(batches):
             import pyarrow as pa
 
@@ -129,8 +132,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
                     x = _matrix(part.column(1).to_pylist())
                     leaves = forest.value.nearest_leaves(_wider(x, None), visits) if queries else forest.value.leaves_of(_wider(x, most))
                     width = leaves.shape[1]
-                    which = pa.array(np.repeat(np.arange(part.num_rows), width))
-                    yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), part.column(0).take(which), part.column(1).take(which)], names=["leaf", "id", "v"])
+                    leaf, which = leaves.ravel(), np.repeat(np.arange(part.num_rows), width)
+                    if parts is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf)], names=["leaf"])
+                        continue
+                    mine, other = parts.value if queries else parts.value[::-1]
+                    own = (mix64(part.column(0).to_numpy().view(np.uint64))[which] % mine[leaf].astype(np.uint64)).astype(np.int64)
+                    row = np.repeat(np.arange(len(leaf)), other[leaf])
+                    each = np.arange(len(row)) - np.repeat(np.cumsum(other[leaf]) - other[leaf], other[leaf])
+                    leaf, which, own = leaf[row], pa.array(which[row]), own[row]
+                    pair = own * other[leaf] + each if queries else each * mine[leaf] + own
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(pair), part.column(0).take(which), part.column(1).take(which)], names=["leaf", "pair", "id", "v"])
 
         return run
 
@@ -152,9 +164,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
         r, c = (np.concatenate(z) for z in zip(*out, strict=True))
         return pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": (q[r] * x[c]).sum(axis=1)})
 
-    asked = rows.where(is_query(F.col("id"))).select("id", "v").mapInArrow(to_leaves(True), "leaf long, id long, v binary")
-    members = index.select("id", "v").mapInArrow(to_leaves(False), "leaf long, id long, v binary")
-    found = asked.groupBy("leaf").cogroup(members.groupBy("leaf")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    def dealt(df: DataFrame, queries: bool) -> np.ndarray:
+        """The number of parts of each leaf; there are at most TREES * FIT_ROWS / 8 leaves."""
+        n = np.ones(len(forest.value.normal) << forest.value.depth, np.int64)
+        for r in df.mapInArrow(to_leaves(queries), "leaf long").groupBy("leaf").count().collect():
+            n[r["leaf"]] = -(-r["count"] // MEET_ROWS)
+        return n
+
+    asking, index = rows.where(is_query(F.col("id"))).select("id", "v"), index.select("id", "v")
+    parts = spark.sparkContext.broadcast((dealt(asking, True), dealt(index, False)))
+    asked = asking.mapInArrow(to_leaves(True, parts), "leaf long, pair long, id long, v binary")
+    members = index.mapInArrow(to_leaves(False, parts), "leaf long, pair long, id long, v binary")
+    found = asked.groupBy("leaf", "pair").cogroup(members.groupBy("leaf", "pair")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
