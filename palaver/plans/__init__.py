@@ -1,6 +1,6 @@
 """Plans of Palaver."""
 
-from . import archive, queries
+from . import archive, queries, reports
 
 #: Every query by name, with its SQL.
-ALL = queries.ALL | archive.ALL
+ALL = queries.ALL | archive.ALL | reports.ALL
