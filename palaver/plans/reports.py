@@ -14,7 +14,7 @@ from .queries import _MESSAGES, _TOKENS, _USAGE, TERMS, _bm25_sql, _rank
 
 _NOW = "2024-01-28 12:00:00"
 _VARIANTS = {"the": ["the", "die"], "onand": ["onand", "erstst"]}
-_WANTED = ["http://therwh.example.org/es/12?utm_source=feed", "x/98"]
+_WANTED = ["http://therwh.example.org/es/12?utm_source=feed", "x/685"]
 _ORIGIN = "('imported:home/' || source)"
 _LISTS = f"""s AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM ({_bm25_sql('documents', 'doc_id', TERMS[1:2], 'false')} ORDER BY score DESC, doc_id LIMIT 9)),
     r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM ({_bm25_sql('documents', 'doc_id', TERMS, 'false')} ORDER BY score DESC, doc_id LIMIT 50))"""
@@ -48,7 +48,7 @@ ALL = {
     "project_exclusion": (lambda s, d: _origins(s, d).where(~J.excluded(F.col("project"), ["src7", "home/?rc1*", "*"])).select("doc_id"), f"SELECT doc_id FROM documents WHERE NOT (contains({_ORIGIN}, 'src7') OR regexp_matches({_ORIGIN}, '^imported:home/[^/]rc1[^/]*$'))"),
     "usable_notes": (lambda s, d: J.usable(table(s, d, "customer").select("c_custkey"), M.latest_state(notes(s, d)), "c_custkey", "F"), "WITH l AS (SELECT o_custkey AS c_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY 1) SELECT c_custkey FROM customer LEFT JOIN l USING (c_custkey) WHERE state IS NULL OR state = 'F'"),
     "signature_join": (lambda s, d: J.sharing_signatures(usage(s, d).where("kind = 'error'"), [3, 7, 11, 42]), f"SELECT session_id, count(DISTINCT signature) AS shared, max(ts) AS last FROM {_USAGE} WHERE kind = 'error' AND signature IN (3, 7, 11, 42) GROUP BY session_id"),
-    "path_sessions": (lambda s, d: J.touching(table(s, d, "pages"), F.col("url"), _WANTED).select("page_id"), f"SELECT page_id FROM pages WHERE url IN {tuple(_WANTED)} OR regexp_extract(url, '([^/]*)/?$', 1) IN ('12?utm_source=feed', '98')"),
+    "path_sessions": (lambda s, d: J.touching(table(s, d, "pages"), F.col("url"), _WANTED).select("page_id"), f"SELECT page_id FROM pages WHERE url IN {tuple(_WANTED)} OR regexp_extract(url, '([^/]*)/?$', 1) IN ('12?utm_source=feed', '685')"),
     "spawn_edges": (lambda s, d: J.children(messages(s, d).select("session_id", F.floor(F.col("session_id") / 3).alias("parent")).distinct()), "WITH s AS (SELECT DISTINCT conv_id AS session_id, conv_id // 3 AS parent FROM conversations) SELECT parent, count(*) AS children FROM s WHERE parent != session_id AND parent IN (SELECT session_id FROM s) GROUP BY parent"),
     "merged_sessions": (
         lambda s, d: J.merged_sessions(messages(s, d), usage(s, d)),
