@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import mix64, stored
 
 #: Vectors of the sample that trees are fitted on, at most; trees; vectors of a leaf; leaves opened for a query.
-FIT_ROWS, TREES, LEAF_ROWS, VISITS, SEED = 16_384, 8, 512, 64, 23
+FIT_ROWS, TREES, LEAF_ROWS, VISITS, SEED = 16_384, 8, 512, 192, 23
 #: Vectors, and queries, of a leaf that one group may hold.
 MEET_ROWS = 16_384
 
