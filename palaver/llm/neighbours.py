@@ -3,7 +3,8 @@
 Vectors get one more component, sqrt(M * M - |x| * |x|) with M the largest length, and queries a zero there; the largest
 inner product is then the smallest angle. Trees are fitted on a bounded sample: each node splits its part of the sample at
 the median along the line between two of its members. Every vector is put into one leaf of each tree. For a query the
-leaves of all trees wait in one queue by their least margin on the way from the root, and the first ``VISITS`` are opened;
+leaves of all trees wait in one queue by their least margin on the way from the root, and the first ``VISITS`` are opened,
+or as many more as let ``TRY_QUERIES`` sampled queries, held against every vector, find the share ``FOUND`` of their own;
 queries meet leaves in a co-grouped join, and the exact inner products decide. Of equal vectors only the 21 smallest ids
 can be among anyone's 20 nearest, so the others are left out before the search. A leaf that more than ``MEET_ROWS`` vectors
 or queries reach is dealt into parts of both, and each pair of parts meets in a group of its own.
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import mix64, stored
 
-#: Vectors of the sample that trees are fitted on, at most; trees; vectors of a leaf; leaves opened for a query.
+#: Vectors of the sample that trees are fitted on, at most; trees; vectors of a leaf; leaves opened for a query, at least.
 FIT_ROWS, TREES, LEAF_ROWS, VISITS, SEED = 16_384, 8, 512, 192, 23
+#: Queries on which the number of opened leaves is settled, and the share of their nearest that these must find.
+TRY_QUERIES, FOUND = 64, 0.97
 #: Vectors, and queries, of a leaf that one group may hold.
 MEET_ROWS = 16_384
 
@@ -61,8 +64,8 @@ class Forest:
             out[:, t] = (t << self.depth) + node - ((1 << self.depth) - 1)
         return out
 
-    def nearest_leaves(self, queries: np.ndarray, visits: int) -> np.ndarray:
-        """The first leaves that one queue over all trees gives each query."""
+    def waits(self, queries: np.ndarray) -> np.ndarray:
+        """The place of each leaf in the one queue of each query: the higher, the sooner."""
         all_ = []
         for t in range(len(self.normal)):
             margins = queries @ self.normal[t].T - self.cut[t]
@@ -71,7 +74,11 @@ class Forest:
                 own = margins[:, (1 << level) - 1 : (2 << level) - 1]
                 wait = np.stack([np.minimum(wait, -own), np.minimum(wait, own)], axis=2).reshape(len(queries), -1)
             all_.append(wait)
-        wait = np.concatenate(all_, axis=1)
+        return np.concatenate(all_, axis=1)
+
+    def nearest_leaves(self, queries: np.ndarray, visits: int) -> np.ndarray:
+        """The first leaves that one queue over all trees gives each query."""
+        wait = self.waits(queries)
         visits = min(visits, wait.shape[1])
         return np.argpartition(-wait, visits - 1, axis=1)[:, :visits]
 
@@ -107,6 +114,42 @@ def _wider(x: np.ndarray, most: float | None) -> np.ndarray:
     return np.column_stack([x, extra])
 
 
+def _exact(index: DataFrame, ids: list[int], values: list[bytes], k: int) -> DataFrame:
+    """query_id, v: the k nearest vectors of a few queries, from all vectors in blocks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        own, q = np.array(ids, np.int64), _matrix(values)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                score = q @ _matrix(part.column(1).to_pylist()).T
+                score[own[:, None] == part.column(0).to_numpy()[None, :]] = -np.inf
+                best = np.argsort(-score, axis=1)[:, :k]
+                r, c = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
+                r, c = r[np.isfinite(score[r, c])], c[np.isfinite(score[r, c])]
+                yield pa.RecordBatch.from_arrays([pa.array(own[r]), part.column(1).take(pa.array(c)), pa.array(score[r, c])], names=["query_id", "v", "score"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    return index.select("id", "v").mapInArrow(run, "query_id long, v binary, score double").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "v")
+
+
+def enough(forest: Forest, most: float, index: DataFrame, asking: DataFrame, k: int, least: int) -> int:
+    """The leaves to open, so many at least, for the sampled queries to find what they must. At most TRY_QUERIES * k vectors are collected."""
+    tried = asking.orderBy(F.xxhash64("id"), "id").limit(TRY_QUERIES).collect()
+    near = _exact(index, [r["id"] for r in tried], [r["v"] for r in tried], k).collect() if tried else []
+    if not near:
+        return least
+    order = np.argsort(-forest.waits(_wider(_matrix(r["v"] for r in tried), None)), axis=1, kind="stable")
+    turn = np.empty_like(order)
+    np.put_along_axis(turn, order, np.arange(1, order.shape[1] + 1)[None, :], axis=1)
+    row = {r["id"]: i for i, r in enumerate(tried)}
+    leaves = forest.leaves_of(_wider(_matrix(r["v"] for r in near), most))
+    first = turn[np.array([row[r["query_id"]] for r in near])[:, None], leaves].min(axis=1)
+    return max(least, int(np.quantile(first, FOUND, method="higher")))
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", visits: int = VISITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: of each vector whose id meets is_query (a function of a column) its k nearest found."""
     spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
@@ -172,6 +215,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
         return n
 
     asking, index = rows.where(is_query(F.col("id"))).select("id", "v"), index.select("id", "v")
+    visits = enough(forest.value, most, index, asking, k, visits)
     parts = spark.sparkContext.broadcast((dealt(asking, True), dealt(index, False)))
     asked = asking.mapInArrow(to_leaves(True, parts), "leaf long, pair long, id long, v binary")
     members = index.mapInArrow(to_leaves(False, parts), "leaf long, pair long, id long, v binary")
