@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from palaver.llm import minhash, mixing, packing, passages, quality
 from palaver.llm.common import read, stored
 
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that every rule keeps."""
@@ -14,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    return minhash.deduplicated(docs)
+    """The first document of each group of near copies, linked from a similarity of 0.8."""
+    return minhash.deduplicated(docs, percent=NEAR_PERCENT)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

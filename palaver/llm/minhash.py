@@ -1,14 +1,14 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
-A document's set is its distinct shingles of five words. Two collections of ``TABLES`` short bands each are computed; the
-key of table (i, j) joins band i of the first collection with band j of the second, so that TABLES ** 2 tables cost
-2 * TABLES * BAND minhashes. Documents with equal sets are one class from the start. Classes that share a key are
+A document's set is its distinct shingles of five words. Two collections of n (see ``tables``) short bands each are computed;
+the key of table (i, j) joins band i of the first collection with band j of the second, so that n ** 2 tables cost
+2 * n * BAND minhashes. Documents with equal sets are one class from the start. Classes that share a key are
 candidates; the members of a candidate group meet with their full sets, are counted against each other through an inverted
 list, and only edges of a spanning forest leave the task. A group beyond ``GROUP_SHINGLES`` is dealt into blocks, and each
 pair of blocks meets in a task of its own, so that memory stays bounded and no pair is missed.
 
-Two documents that the definition links share no key with a probability of 2 * (1 - 0.85 ** 3) ** 9 = 0.0004 at a
-similarity of 0.85, and less above.
+Two documents that the definition links share no key with a probability of at most ``MISSED`` = 0.0004 at a similarity of
+exactly the threshold, and less above: 2 * (1 - 0.85 ** 3) ** 9 with 9 bands at 0.85, 2 * (1 - 0.8 ** 3) ** 12 with 12 at 0.8.
 
 Defined results: a text without words has an empty set and is linked with nothing; one of fewer than five words has its
 whole sequence as its only shingle; rows that repeat an id are one node; a row without an id is linked with nothing, has no
@@ -17,6 +17,8 @@ component and is kept; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +26,16 @@ from pyspark.sql import functions as F
 from .common import Texts, as_bytes, chunks, mix64, spans_hash, stored
 from .graph import components
 
-SHINGLE, TABLES, BAND, PERCENT = 5, 9, 3, 85
+SHINGLE, BAND, PERCENT, MISSED = 5, 3, 85, 0.0004
 #: Shingles of a group that one task may hold.
 GROUP_SHINGLES = 8_000_000
 #: Rows of (id, group) up to which they are broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
-_MULTIPLY = mix64(np.arange(1, 2 * TABLES * BAND + 1, dtype=np.uint64)) | np.uint64(1)
-_ADD = mix64(np.arange(1001, 1001 + 2 * TABLES * BAND, dtype=np.uint64))
+
+def tables(percent: int) -> int:
+    """Bands of each collection: as few as miss a pair at the threshold with a probability of at most ``MISSED``."""
+    return math.ceil(math.log(MISSED / 2) / math.log(1 - (percent / 100) ** BAND))
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,19 +56,22 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.bincount(of[new], minlength=t.n)
 
 
-def _bands(key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+def _bands(key: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """Two digests and the bands (a row a text) of the texts that have shingles."""
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0].astype(np.int64)
     one, two = np.add.reduceat(mix64(key), first), np.add.reduceat(mix64(key ^ np.uint64(0x5851F42D4C957F2D)), first)
-    bands = np.zeros((len(first), 2 * TABLES), np.uint64)
-    for k in range(2 * TABLES * BAND):
-        low = np.minimum.reduceat(key * _MULTIPLY[k] + _ADD[k], first)
+    bands = np.zeros((len(first), 2 * n), np.uint64)
+    multiply = mix64(np.arange(1, 2 * n * BAND + 1, dtype=np.uint64)) | np.uint64(1)
+    add = mix64(np.arange(1001, 1001 + 2 * n * BAND, dtype=np.uint64))
+    for k in range(2 * n * BAND):
+        low = np.minimum.reduceat(key * multiply[k] + add[k], first)
         bands[:, k // BAND] = mix64(bands[:, k // BAND] * np.uint64(31) + low)
     return one, two, bands
 
 
-def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, one, two (digests of the set), bands of every row."""
+    n = tables(percent)
 
     def run(batches):
         import pyarrow as pa
@@ -73,19 +80,18 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             ids, texts = b.column(0), as_bytes(b.column(1))
             for i, j in chunks(list(map(len, texts))):
                 key, sizes = shingle_sets(texts[i:j])
-                one, two, bands = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64), np.zeros((j - i, 2 * TABLES), np.uint64)
+                one, two, bands = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64), np.zeros((j - i, 2 * n), np.uint64)
                 if len(key):
-                    one[sizes > 0], two[sizes > 0], bands[sizes > 0] = _bands(key, sizes)
+                    one[sizes > 0], two[sizes > 0], bands[sizes > 0] = _bands(key, sizes, n)
                 flat = pa.array(bands.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * 2 * TABLES), flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * 2 * n), flat)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc_id", "n_shingles", "one", "two", "bands"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<long>")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, n: int) -> DataFrame:
     """a, b: classes that share a table's key, each with the least one of that key."""
-    n = TABLES
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.xxhash64(i * n + j, F.get("bands", i), F.get("bands", j + n)))))
     rows = classes.select("rep", F.explode(keys).alias("key"))
     least = rows.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b != top")
@@ -127,7 +133,7 @@ def forest(ids: list[int], key: np.ndarray, sizes: np.ndarray, percent: int = PE
     return edges
 
 
-def _linked(groups: DataFrame) -> DataFrame:
+def _linked(groups: DataFrame, percent: int) -> DataFrame:
     """a, b: confirmed edges in each group of (part, doc_id, text)."""
 
     def run(batches):
@@ -136,7 +142,7 @@ def _linked(groups: DataFrame) -> DataFrame:
         part, ids, texts = None, [], []
 
         def done():
-            edges = forest(ids, *shingle_sets(texts)) if len(ids) > 1 else []
+            edges = forest(ids, *shingle_sets(texts), percent) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
@@ -152,12 +158,12 @@ def _linked(groups: DataFrame) -> DataFrame:
     return groups.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
-def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row, and (a, b): each document but the least of its component, with that least one."""
-    sketch = stored(sketched(docs, doc_id, text))
+    sketch = stored(sketched(docs, doc_id, text, percent))
     own = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(own.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    near = components(_candidates(classes))
+    near = components(_candidates(classes, tables(percent)))
     group = near.unionByName(near.select(F.col("b").alias("a"), "b").distinct())
     sizes = group.join(classes.select(F.col("rep").alias("a"), "n_shingles"), "a").groupBy("b").agg(F.sum("n_shingles").alias("n"))
     blocks = F.ceil(F.col("n") / (GROUP_SHINGLES // 2)).cast("int")
@@ -168,19 +174,19 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if group.count() <= BROADCAST_ROWS:
         parts = F.broadcast(parts)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(parts, F.col("doc_id") == F.col("a"))
-    edges = _linked(rows).unionByName(own.join(classes.select("n_shingles", "one", "two", "rep"), ["n_shingles", "one", "two"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    edges = _linked(rows, percent).unionByName(own.join(classes.select("n_shingles", "one", "two", "rep"), ["n_shingles", "one", "two"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     return sketch, components(edges)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id of its component), kept, for every row."""
-    sketch, of = linked_components(docs, doc_id, text)
+    sketch, of = linked_components(docs, doc_id, text, percent)
     least = F.coalesce("b", "doc_id")
     return sketch.select("doc_id", "n_shingles").join(of, F.col("doc_id") == F.col("a"), "left").select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The first document of each component, with all its columns."""
-    _, of = linked_components(docs, doc_id, text)
+    _, of = linked_components(docs, doc_id, text, percent)
     dropped = of.select(F.col("a").alias("__dropped"))
     return docs.join(dropped, F.col(doc_id).cast("long") == F.col("__dropped"), "left_anti")

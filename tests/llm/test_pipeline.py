@@ -112,6 +112,20 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert max(used.values()) <= 4096 and len(used) == len(gaps)
 
 
+def test_near_dedup_links_from_four_fifths(spark):
+    r = random.Random(17)
+    rows = []
+    for i, tail in enumerate((20, 22, 24, 26) * 5):  # similarities of 196 / (196 + 2 * tail)
+        words = [f"d{i}w{r.randrange(10**9)}" for _ in range(200 + tail)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:200] + [w + "x" for w in words[200:]]))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    share = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2)]
+    assert sum(0.8 <= x < 0.85 for x in share) >= 10 and sum(x < 0.8 for x in share) >= 5
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {2 * i for i in range(20)} | {2 * i + 1 for i, x in enumerate(share) if x < 0.8}
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = spark.createDataFrame(_documents(), "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
