@@ -1,13 +1,16 @@
 """Licence scans with a trained paragraph classifier, by DataFrame and ML functions that run in the JVM.
 
-Paragraphs are the lines of a text. Their words and word pairs are hashed into sparse vectors; a multinomial logistic
-regression, trained here on statements filled into templates and on other prose, gives each licence family's probability and
-that of the unknown class. The least probability that a family needs is calibrated on held-out paragraphs so that at most
-``FALSE_SHARE`` of those without a licence would pass. A paragraph that passes is confirmed only if it holds at least
-``COVER`` of the words of one of its family's templates.
-
-Defined results: null and empty texts have no paragraphs and no licence; rows that repeat an id are scanned together, as
-one document; rows without an id are one document; an empty table gives an empty one.
+Paragraphs are blocks of lines between lines without words, so a wrapped notice is whole. What is judged are a paragraph's
+lines and, across its line ends, overlapping windows of each template's length and half as much again. Their words and word
+pairs are hashed into sparse vectors; a multinomial logistic regression, trained here on statements filled into templates and
+on other prose, gives each licence family's probability and that of the unknown class. The least probability that a family
+needs is calibrated on held-out paragraphs so that at most ``FALSE_SHARE`` of those without a licence would pass. A line or
+window that passes is confirmed only if it holds at least ``COVER`` of the words of one of its family's templates; those that
+hold as much of no template, and paragraphs that don't, can't be confirmed and never reach the regression.
+
+Defined results: null and empty texts have no paragraphs and no licence; a paragraph that grants several families counts once
+for each among the licence paragraphs; rows that repeat an id are scanned together, as one document; rows without an id are
+one document; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -74,6 +77,8 @@ OTHER = (
 )
 FAMILIES = (*TEMPLATES, "unknown")
 UNKNOWN = len(TEMPLATES)
+#: The end of a paragraph: one or more lines without words.
+BETWEEN = r"\n(?:[^\p{L}\p{N}\n]*+\n)+"
 TRAIN_ROWS, FEATURES, FALSE_SHARE, COVER = 6000, 1 << 14, 0.0005, 0.7
 
 
@@ -104,6 +109,47 @@ def samples(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     return spark.range(rows).withColumn("label", label).select(text.alias("text"), "label")
 
 
+def _own(template: str) -> list[str]:
+    """The distinct words of a template."""
+    return sorted({w for w in template.split() if w != "{}"})
+
+
+def _cover(own: Column, template: str) -> Column:
+    """The share of a template's distinct words that are among a list's."""
+    return F.size(F.array_intersect(own, F.array(*map(F.lit, _own(template))))) / len(_own(template))
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _holds(own: Column) -> Column:
+    """Whether a list of words holds enough of any template."""
+    every = F.array(*map(F.lit, sorted({w for ts in TEMPLATES.values() for t in ts for w in _own(t)})))
+    return _bound(F.array_intersect(own, every), lambda few: reduce(lambda a, b: a | b, (_cover(few, t) >= COVER for ts in TEMPLATES.values() for t in ts)))
+
+
+def _windows(own: Column) -> Column:
+    """Overlapping windows of each template's length and half as much again, where they hold enough of that template."""
+
+    def of(template: str) -> Column:
+        n = len(template.replace("{}", "2 0").split())
+        starts = F.sequence(F.lit(1), F.greatest(F.size(own) - n, F.lit(0)) + 1, F.lit(n // 4 + 1))
+        return F.filter(F.transform(starts, lambda i: F.slice(own, i, n + n // 2 + 1)), lambda w: _cover(w, template) >= COVER)
+
+    return F.concat(*(F.when(_cover(own, t) >= COVER, of(t)).otherwise(F.expr("cast(array() as array<array<string>>)")) for ts in TEMPLATES.values() for t in ts))
+
+
+def judged(blocks: DataFrame) -> DataFrame:
+    """The columns of the blocks but __block, with __unit and __text for each of a block's lines and windows that holds enough of a template."""
+    keys = [c for c in blocks.columns if c != "__block"]
+    lines = F.transform(F.split("__block", "\n"), words)
+    units = F.filter(F.array_distinct(F.concat(lines, _bound(words(F.col("__block")), _windows))), _holds)
+    own = blocks.where(_bound(words(F.col("__block")), _holds))
+    return own.select(*keys, F.posexplode(units).alias("__unit", "__own")).select(*keys, "__unit", F.array_join("__own", " ").alias("__text"))
+
+
 def _features(df: DataFrame) -> DataFrame:
     own = df.withColumn("__words", words(F.col("__text"))).where(F.size("__words") > 0).withColumn("__grams", grams(F.col("__words")))
     return HashingTF(inputCol="__grams", outputCol="__features", numFeatures=FEATURES, binary=True).transform(own)
@@ -131,7 +177,7 @@ class Scanner:
     def found(self, paragraphs: DataFrame) -> DataFrame:
         """paragraphs (with their text in __text) with __licence: the confirmed family or null, and __score."""
         scored = self.scored(_features(paragraphs))
-        covers = [F.greatest(F.lit(0.0), *(F.size(F.array_intersect("__words", F.array(*map(F.lit, own)))) / len(own) for own in (sorted({w for w in t.split() if w != "{}"}) for t in ts))) for ts in TEMPLATES.values()]
+        covers = [F.greatest(F.lit(0.0), *(_cover(F.col("__words"), t) for t in ts)) for ts in TEMPLATES.values()]
         cover = reduce(lambda c, k: c.when(F.col("__family") == k, covers[k]), range(1, UNKNOWN), F.when(F.col("__family") == 0, covers[0])).otherwise(0.0)
         sure = (F.col("__family") < UNKNOWN) & (F.col("__score") >= self.least)
         names = F.array(*map(F.lit, FAMILIES))
@@ -140,12 +186,15 @@ class Scanner:
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, n_licence_paragraphs, families (in order, by comma; empty if none), best_score of every document."""
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__text"))
-    scanner = Scanner(docs.sparkSession)
-    found = scanner.found(lines).select("doc_id", F.lit(1).alias("own"), "__licence", F.when(F.col("__licence").isNotNull(), F.col("__score")).alias("__score"))
-    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).alias("own"), F.lit(None).cast("string").alias("__licence"), F.lit(None).cast("double").alias("__score"))
+    blocks = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), lambda b: F.regexp_like(b, F.lit(r"[\p{L}\p{N}]")))
+    # equal rows have equal digests: each of their finds counts as often as its unit was found
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("__digest"), F.posexplode(blocks).alias("__at", "__block"))
+    found = Scanner(docs.sparkSession).found(judged(rows)).where(F.col("__licence").isNotNull())
+    found = found.groupBy("doc_id", "__digest", "__at", "__licence", "__unit").agg(F.count("*").alias("n"), F.max("__score").alias("__score"))
+    found = found.groupBy("doc_id", "__digest", "__at", "__licence").agg(F.max("n").alias("n"), F.max("__score").alias("__score"))
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.size(blocks).cast("long").alias("own"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("__licence"), F.lit(None).cast("double").alias("__score"))
     return (
-        found.unionByName(every)
+        every.unionByName(found.select("doc_id", F.lit(0).cast("long").alias("own"), "n", "__licence", "__score"))
         .groupBy("doc_id")
-        .agg(F.sum("own").alias("n_paragraphs"), F.count("__licence").alias("n_licence_paragraphs"), F.array_join(F.sort_array(F.collect_set("__licence")), ",").alias("families"), F.max("__score").alias("best_score"))
+        .agg(F.sum("own").alias("n_paragraphs"), F.sum("n").alias("n_licence_paragraphs"), F.array_join(F.sort_array(F.collect_set("__licence")), ",").alias("families"), F.max("__score").alias("best_score"))
     )

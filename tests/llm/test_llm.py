@@ -146,6 +146,48 @@ def test_licences_on_held_out_and_planted_lines(spark):
     assert [(r.n_licence_paragraphs, r.families) for r in got] == [(2, "apache,mit"), (0, ""), (0, "")]
 
 
+WRAPPED = {
+    "mit": """MIT License
+
+Copyright (c) 2021 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "bsd": """Copyright (c) 2021, A. Writer. All rights reserved.
+
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.""",
+    "apache": """Licensed under the Apache License, Version
+2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at""",
+    "gpl": """    This program is free software: you can redistribute it and/or modify\r
+    it under the terms of the GNU General Public License as published by\r
+    the Free Software Foundation, either version 3 of the License, or\r
+    (at your option) any later version.""",
+}
+
+
+def test_wrapped_licence_notices_are_found(spark):
+    r = random.Random(23)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(n))
+    rows = [(i, t) for i, t in enumerate(WRAPPED.values())]
+    rows += [(10 + i, f"{prose(150)}\n{t.replace(chr(10) * 2, chr(10))}\n{prose(150)}") for i, t in enumerate(WRAPPED.values())]
+    rows += [(20, f"{prose(200)} Released under the MIT\nLicense. {prose(200)}"), (21, "\n\n".join(WRAPPED.values())), (22, prose(40) + "\n \n" + prose(40) + "\n" + prose(9)), (21, WRAPPED["mit"]), (21, WRAPPED["mit"])]
+    got = {x.doc_id: x for x in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].families for i in range(4)] == list(WRAPPED)
+    assert [got[10 + i].families for i in range(4)] == list(WRAPPED)
+    assert (got[20].families, got[21].families, got[22].families) == ("mit", "apache,bsd,gpl,mit", "")
+    assert (got[0].n_paragraphs, got[0].n_licence_paragraphs, got[20].n_paragraphs, got[22].n_paragraphs) == (3, 1, 1, 2)
+    assert got[21].n_licence_paragraphs == 6
+
+
 def test_main_text_of_held_out_and_broken_pages(spark):
     from palaver.llm.page_samples import Writer
 
