@@ -4,8 +4,11 @@ A document's set is its distinct shingles of five words. Two collections of n (s
 the key of table (i, j) joins band i of the first collection with band j of the second, so that n ** 2 tables cost
 2 * n * BAND minhashes. Documents with equal sets are one class from the start. Classes that share a key are
 candidates; the members of a candidate group meet with their full sets, are counted against each other through an inverted
-list, and only edges of a spanning forest leave the task. A group beyond ``GROUP_SHINGLES`` is dealt into blocks, and each
-pair of blocks meets in a task of its own, so that memory stays bounded and no pair is missed.
+list, and only edges of a spanning forest leave the task. Where most members are near copies of the first one, only the others
+are counted against all. In a group beyond ``GROUP_SHINGLES`` each member first meets just those it shares the least place in
+a key with, in parts of bounded size. If that leaves the group in several pieces, the members outside of its largest piece are
+dealt into blocks, and each of these meets every other one and every block of the largest piece in a task of its own, so that
+memory stays bounded and no pair is missed. Such parts are always shuffled.
 
 Two documents that the definition links share no key with a probability of at most ``MISSED`` = 0.0004 at a similarity of
 exactly the threshold, and less above: 2 * (1 - 0.85 ** 3) ** 9 with 9 bands at 0.85, 2 * (1 - 0.8 ** 3) ** 12 with 12 at 0.8.
@@ -29,7 +32,7 @@ from .graph import components
 SHINGLE, BAND, PERCENT, MISSED = 5, 3, 85, 0.0004
 #: Shingles of a group that one task may hold.
 GROUP_SHINGLES = 8_000_000
-#: Rows of (id, group) up to which they are broadcast to the documents; beyond, both sides are shuffled.
+#: Rows of (id, group) up to which they are broadcast to the documents, one a member; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -98,17 +101,41 @@ def _candidates(classes: DataFrame, n: int) -> DataFrame:
     return rows.join(least, "key").select(F.col("rep").alias("a"), "b").where("a != b").distinct()
 
 
-def forest(ids: list[int], key: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges that connect the linked ones of some documents, given their sets one after another."""
+def forest(ids: list[int], key: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, labels: list[int] | None = None, star: bool = False) -> list[tuple[int, int]]:
+    """Edges that connect the linked ones of some documents, given their sets one after another.
+
+    Documents with equal labels are connected already, without labels those linked with the first one. Two of the largest such
+    piece need not be counted against each other. A star has only the links with the first document.
+    """
     _, code = np.unique(key, return_inverse=True)
     of = np.repeat(np.arange(len(ids)), sizes)
+    edges = []
+    if labels is None:
+        first = np.zeros(len(code) and code.max() + 1, bool)
+        first[code[: sizes[0]]] = True
+        shared = np.bincount(of[first[code]], minlength=len(ids))
+        near = (shared > 0) & (100 * shared >= percent * (sizes + sizes[0] - shared))
+        near[0] = True
+        edges = [(ids[x], ids[0]) for x in np.flatnonzero(near).tolist() if x]
+        if star:
+            return edges
+        piece = np.where(near, 0, np.arange(len(ids)))
+    else:
+        piece = np.unique(labels, return_inverse=True)[1]
+    largest = piece == np.argmax(np.bincount(piece))
+    turn = np.argsort(~largest, kind="stable")  # the largest piece first: its documents are only counted against
+    rank = np.empty(len(ids), np.int64)
+    rank[turn] = np.arange(len(ids))
+    ids, sizes, piece = [ids[x] for x in turn], sizes[turn], piece[turn]
+    again = np.argsort(rank[of], kind="stable")
+    code, of = code[again], rank[of][again]
     order = np.argsort(code, kind="stable")
     member = of[order]  # of each shingle, the documents that hold it, in their order
     bound = np.concatenate([[0], np.cumsum(np.bincount(code))])
     place = np.empty(len(code), np.int64)
     place[order] = np.arange(len(code))
     ends = np.cumsum(sizes)
-    root = list(range(len(ids)))
+    root = np.unique(piece, return_index=True)[1][np.unique(piece, return_inverse=True)[1]].tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -116,8 +143,7 @@ def forest(ids: list[int], key: np.ndarray, sizes: np.ndarray, percent: int = PE
             x = root[x]
         return x
 
-    edges = []
-    for x in range(1, len(ids)):
+    for x in range(max(1, int(largest.sum())), len(ids)):
         own = slice(ends[x] - sizes[x], ends[x])
         begin, n = bound[code[own]], place[own] - bound[code[own]]  # those before x
         total = int(n.sum())
@@ -133,29 +159,58 @@ def forest(ids: list[int], key: np.ndarray, sizes: np.ndarray, percent: int = PE
     return edges
 
 
-def _linked(groups: DataFrame, percent: int) -> DataFrame:
-    """a, b: confirmed edges in each group of (part, doc_id, text)."""
+def _linked(groups: DataFrame, percent: int, star: bool = False) -> DataFrame:
+    """a, b: confirmed edges in each group of (part, doc_id, text, label), where labels are null in all or none of a group."""
 
     def run(batches):
         import pyarrow as pa
 
-        part, ids, texts = None, [], []
+        part, ids, texts, labels = None, [], [], []
 
         def done():
-            edges = forest(ids, *shingle_sets(texts), percent) if len(ids) > 1 else []
+            edges = forest(ids, *shingle_sets(texts), percent, None if labels[0] is None else labels, star) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            for p, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
+            for p, i, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 if p != part:
                     if len(ids) > 1:
                         yield done()
-                    part, ids, texts = p, [], []
+                    part, ids, texts, labels = p, [], [], []
                 ids.append(i)
                 texts.append(t)
-        yield done()
-
-    return groups.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text").mapInArrow(run, "a long, b long")
+                labels.append(c)
+        if len(ids) > 1:
+            yield done()
+
+    return groups.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text", "label").mapInArrow(run, "a long, b long")
+
+
+def _star_parts(large: DataFrame, candidates: DataFrame) -> DataFrame:
+    """a, part, label (null): members of large groups with a candidate of theirs, the least id of its part."""
+    pairs = candidates.join(large.select("a", "own"), "a")
+    total = pairs.groupBy("b").agg(F.ceil(F.sum("own") / (GROUP_SHINGLES // 2)).alias("parts"))
+    rows = pairs.join(total, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("part"))
+    return rows.select("a", "part").unionByName(rows.select(F.col("b").alias("a"), "part").distinct()).withColumn("label", F.lit(None).cast("long"))
+
+
+def _block_parts(large: DataFrame, pieces: DataFrame) -> DataFrame:
+    """a, part, label: blocks that meet, of those large groups that are in several pieces (a, b as in components)."""
+    rows = large.join(pieces.select("a", F.col("b").alias("piece")), "a", "left").withColumn("label", F.coalesce("piece", "a"))
+    sums = rows.groupBy("b", "label").agg(F.sum("own").alias("n"))
+    top = sums.groupBy("b").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    blocks = lambda n: F.ceil(n / (GROUP_SHINGLES // 2)).cast("int")
+    top = top.select("b", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("most"))
+    rows = rows.select("a", "b", "label").join(top, "b")
+    at = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("q")
+    others, largest = rows.where("label != top"), rows.where("label = top")
+    parts = (
+        others.select("a", "b", "label", at("few").alias("p"), each("few")).select("a", F.xxhash64("b", F.lit(0), F.least("p", "q"), F.greatest("p", "q")).alias("part"), "label"),
+        others.select("a", "b", "label", at("few").alias("p"), each("most")).select("a", F.xxhash64("b", F.lit(1), "p", "q").alias("part"), "label"),
+        largest.select("a", "b", "label", at("most").alias("p"), each("few")).select("a", F.xxhash64("b", F.lit(1), "q", "p").alias("part"), "label"),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -163,18 +218,19 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sketch = stored(sketched(docs, doc_id, text, percent))
     own = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(own.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    near = components(_candidates(classes, tables(percent)))
-    group = near.unionByName(near.select(F.col("b").alias("a"), "b").distinct())
-    sizes = group.join(classes.select(F.col("rep").alias("a"), "n_shingles"), "a").groupBy("b").agg(F.sum("n_shingles").alias("n"))
-    blocks = F.ceil(F.col("n") / (GROUP_SHINGLES // 2)).cast("int")
-    block = F.when(F.col("n") > GROUP_SHINGLES, F.pmod(F.xxhash64("a"), blocks)).otherwise(0).cast("int")
-    other = F.when(F.col("n") > GROUP_SHINGLES, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))
-    group = stored(group.join(sizes, "b").select("a", "b", block.alias("p"), other.alias("others")))
-    parts = group.select("a", "b", "p", F.explode("others").alias("q")).select("a", F.xxhash64("b", F.least("p", "q"), F.greatest("p", "q")).alias("part"))
-    if group.count() <= BROADCAST_ROWS:
-        parts = F.broadcast(parts)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(parts, F.col("doc_id") == F.col("a"))
-    edges = _linked(rows, percent).unionByName(own.join(classes.select("n_shingles", "one", "two", "rep"), ["n_shingles", "one", "two"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    candidates = stored(_candidates(classes, tables(percent)))
+    near = components(candidates)
+    group = near.unionByName(near.select(F.col("b").alias("a"), "b").distinct()).join(classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("own")), "a")
+    group = stored(group.join(group.groupBy("b").agg(F.sum("own").alias("n")), "b").select("a", "b", "own", "n"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    met = lambda parts: texts.join(parts, F.col("doc_id") == F.col("a"))
+    parts = group.where(F.col("n") <= GROUP_SHINGLES).select("a", F.xxhash64("b").alias("part"), F.lit(None).cast("long").alias("label"))
+    edges = _linked(met(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts), percent)
+    large = group.where(F.col("n") > GROUP_SHINGLES)
+    if not large.isEmpty():
+        stars = stored(_linked(met(_star_parts(large, candidates).hint("merge")), percent, star=True))
+        edges = edges.unionByName(stars).unionByName(_linked(met(_block_parts(large, components(stars)).hint("merge")), percent))
+    edges = edges.unionByName(own.join(classes.select("n_shingles", "one", "two", "rep"), ["n_shingles", "one", "two"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     return sketch, components(edges)
 
 

@@ -121,6 +121,54 @@ def test_large_groups_of_near_copies_are_whole_when_dealt_into_blocks(spark, mon
     assert [x[2] for x in want] == label
 
 
+@pytest.mark.parametrize("chain", [False, True])
+def test_hot_groups_are_met_by_few_rows_and_never_broadcast_dealt(spark, monkeypatch, chain):
+    r = random.Random(19)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(60):
+        if chain:  # each is near the last one, the first ones are far from the last ones
+            words = [f"x{i}" if 5 * i <= k < 5 * i + 5 else w for k, w in enumerate(words)]
+            rows.append((i * 7 % 60, " ".join(words)))
+        else:
+            rows.append((i, " ".join(f"x{i}" if k == 5 * i else w for k, w in enumerate(words))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, minhash.near_duplicates(df).collect()))
+    assert {x[2] for x in want} == {0}
+    sent, met, linked, broadcast = [], [], minhash._linked, minhash.F.broadcast
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", 2000)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(minhash.F, "broadcast", lambda x: sent.append(x.count()) or broadcast(x))
+    monkeypatch.setattr(minhash, "_linked", lambda groups, *a, **k: met.append(groups.count()) or linked(groups, *a, **k))
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == want
+    assert max(sent, default=0) <= 100
+    assert chain or sum(met) < 5 * 60
+
+
+def test_forest_connects_what_all_pairs_connect():
+    r = random.Random(29)
+    for case in range(60):
+        n = r.randint(2, 30)
+        sets = [sorted(r.sample(range(24), r.randint(1, 24))) for _ in range(n)]
+        sets += [sorted({*s[:-1], r.randrange(24)}) for s in sets]
+        label = list(range(len(sets)))
+        join = lambda of, a, b: [min(of[a], of[b]) if x in (of[a], of[b]) else x for x in of]
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})]
+        some = r.sample(pairs, len(pairs) // 2)
+        known = label
+        for a, b in pairs:
+            label = join(label, a, b)
+        for a, b in some:
+            known = join(known, a, b)
+        key, sizes = np.array([x for s in sets for x in s], np.uint64), np.array([len(s) for s in sets])
+        for start, labels in ((range(len(sets)), None), (known, known)):
+            got = list(start)
+            for a, b in minhash.forest(list(range(len(sets))), key, sizes, 85, labels):
+                assert got[a] != got[b] and label[a] == label[b]
+                got = join(got, a, b)
+            assert got == label
+
+
 def test_neighbours_recall_and_odd_vectors(spark):
     folder = "/root/testdata/sf0.01"
     df = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
