@@ -4,8 +4,8 @@ A document's set is its distinct shingles of five words. Two collections of n (s
 the key of table (i, j) joins band i of the first collection with band j of the second, so that n ** 2 tables cost
 2 * n * BAND minhashes. Documents with equal sets are one class from the start. Classes that share a key are
 candidates; the members of a candidate group meet with their full sets, are counted against each other through an inverted
-list, and only edges of a spanning forest leave the task. Where most members are near copies of the first one, only the others
-are counted against all. In a group beyond ``GROUP_SHINGLES`` each member first meets just those it shares the least place in
+list, and only edges of a spanning forest leave the task: members are linked with leaders first, and what these leave apart is
+counted only where two pieces share one of their rarest shingles (see ``forest``). In a group beyond ``GROUP_SHINGLES`` each member first meets just those it shares the least place in
 a key with, in parts of bounded size. If that leaves the group in several pieces, the members outside of its largest piece are
 dealt into blocks, and each of these meets every other one and every block of the largest piece in a task of its own, so that
 memory stays bounded and no pair is missed. Such parts are always shuffled.
@@ -13,6 +13,8 @@ memory stays bounded and no pair is missed. Such parts are always shuffled.
 Two documents that the definition links share no key with a probability of at most ``MISSED`` = 0.0004 at a similarity of
 exactly the threshold, and less above: 2 * (1 - 0.85 ** 3) ** 9 with 9 bands at 0.85, 2 * (1 - 0.8 ** 3) ** 12 with 12 at 0.8.
 
+Sets are compared by 128 bits of hash, shingles by 64.
+
 Defined results: a text without words has an empty set and is linked with nothing; one of fewer than five words has its
 whole sequence as its only shingle; rows that repeat an id are one node; a row without an id is linked with nothing, has no
 component and is kept; an empty table gives an empty one.
@@ -101,62 +103,127 @@ def _candidates(classes: DataFrame, n: int) -> DataFrame:
     return rows.join(least, "key").select(F.col("rep").alias("a"), "b").where("a != b").distinct()
 
 
+def _leaders(own: list[np.ndarray], code: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int, star: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Each document's piece, and links with leaders: the first document, then the first that isn't linked with one.
+
+    It ends with the first leader (a star) or once a leader wins less than a hundredth of the rest.
+    """
+    mark, piece, edges = np.zeros(len(code) and code.max() + 1, bool), np.full(len(own), -1), []
+    left = np.arange(len(own))
+    while len(left):
+        leader = int(left[0])
+        mark[own[leader]] = True
+        shared = np.bincount(of[mark[code]], minlength=len(own))[left]
+        mark[own[leader]] = False
+        near = left[(shared > 0) & (100 * shared >= percent * (sizes[left] + sizes[leader] - shared))]
+        piece[near] = piece[leader] = leader
+        edges += [(x, leader) for x in near.tolist() if x != leader]
+        if star or 100 * len(near) < len(left):
+            break
+        left = left[piece[left] < 0]
+    return np.where(piece < 0, np.arange(len(own)), piece), edges
+
+
 def forest(ids: list[int], key: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, labels: list[int] | None = None, star: bool = False) -> list[tuple[int, int]]:
     """Edges that connect the linked ones of some documents, given their sets one after another.
 
-    Documents with equal labels are connected already, without labels those linked with the first one. Two of the largest such
-    piece need not be counted against each other. A star has only the links with the first document.
+    Documents with equal labels are connected already, without labels those linked with a leader. Of the others only classes
+    (see ``_classes``) of different pieces are counted, and only those that share one of their rarest shingles: each class has
+    so many of these that it can't be linked with one that holds none. A star has only the links with the first document.
     """
+    n = len(ids)
     _, code = np.unique(key, return_inverse=True)
-    of = np.repeat(np.arange(len(ids)), sizes)
-    edges = []
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    of = np.repeat(np.arange(n), sizes)
+    own = [code[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    pairs: list[tuple[int, int]] = []
     if labels is None:
-        first = np.zeros(len(code) and code.max() + 1, bool)
-        first[code[: sizes[0]]] = True
-        shared = np.bincount(of[first[code]], minlength=len(ids))
-        near = (shared > 0) & (100 * shared >= percent * (sizes + sizes[0] - shared))
-        near[0] = True
-        edges = [(ids[x], ids[0]) for x in np.flatnonzero(near).tolist() if x]
+        piece, pairs = _leaders(own, code, of, sizes, percent, star)
         if star:
-            return edges
-        piece = np.where(near, 0, np.arange(len(ids)))
+            return [(ids[x], ids[y]) for x, y in pairs]
     else:
-        piece = np.unique(labels, return_inverse=True)[1]
-    largest = piece == np.argmax(np.bincount(piece))
-    turn = np.argsort(~largest, kind="stable")  # the largest piece first: its documents are only counted against
-    rank = np.empty(len(ids), np.int64)
-    rank[turn] = np.arange(len(ids))
-    ids, sizes, piece = [ids[x] for x in turn], sizes[turn], piece[turn]
-    again = np.argsort(rank[of], kind="stable")
-    code, of = code[again], rank[of][again]
-    order = np.argsort(code, kind="stable")
-    member = of[order]  # of each shingle, the documents that hold it, in their order
-    bound = np.concatenate([[0], np.cumsum(np.bincount(code))])
-    place = np.empty(len(code), np.int64)
-    place[order] = np.arange(len(code))
-    ends = np.cumsum(sizes)
-    root = np.unique(piece, return_index=True)[1][np.unique(piece, return_inverse=True)[1]].tolist()
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x in range(max(1, int(largest.sum())), len(ids)):
-        own = slice(ends[x] - sizes[x], ends[x])
-        begin, n = bound[code[own]], place[own] - bound[code[own]]  # those before x
-        total = int(n.sum())
-        if not total:
-            continue
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-        shared = np.bincount(member[at], minlength=x)[:x]
-        for y in np.flatnonzero((shared > 0) & (100 * shared >= percent * (sizes[x] + sizes[:x] - shared))).tolist():
-            p, q = find(x), find(y)
+        piece = np.array(labels)
+    piece = np.unique(piece, return_inverse=True)[1]
+    comp, inside = np.arange(n), [[p] for p in range(n)]  # of each piece, and the pieces of each component
+
+    def join(docs: list[int]) -> None:
+        for x in docs[1:]:
+            p, q = sorted((int(comp[piece[x]]), int(comp[piece[docs[0]]])), key=lambda c: len(inside[c]))
             if p != q:
-                root[p] = q
-                edges.append((ids[x], ids[y]))
-    return edges
+                comp[inside[p]] = q
+                inside[q] += inside[p]
+                pairs.append((x, docs[0]))
+
+    need = -(-percent * sizes // 100)
+    live, own, classes, code, of = _classes(code, of, sizes, need, n)
+    if not len(live):
+        return [(ids[x], ids[y]) for x, y in pairs]
+    for c in classes:
+        if len(c) > 1 and 100 * len(own[c[0]]) >= percent * (2 * sizes[c[0]] - len(own[c[0]])):
+            join(c)
+    first = np.array([c[0] for c in classes])
+    one = np.array([len(np.unique(comp[piece[c]])) == 1 for c in classes])
+    top = one & (piece[first] == np.argmax(np.bincount(piece[live])))
+    number = np.full(n, -1)
+    number[first] = np.arange(len(first))
+    code, of = code[number[of] >= 0], number[of[number[of] >= 0]]
+    # the rarest shingles of each class: its size less the overlap that any link needs, and one
+    size = np.bincount(of, minlength=len(first))
+    order = np.lexsort((code, np.bincount(code)[code], of))
+    to = of[order]
+    rare = order[np.arange(len(code)) - (np.cumsum(size) - size)[to] < (size - need[first] + 1)[to]]
+    doc, token = of[rare], code[rare]
+    by = np.lexsort((doc, token))
+    doc, token = doc[by], token[by]
+    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    many = np.diff(np.concatenate([head, [len(doc)]]))
+    begin, end = np.repeat(head, many), np.repeat(head + many, many)
+    asks = np.flatnonzero((end - begin > 1) & ~top[doc])
+    asks = asks[np.argsort(doc[asks], kind="stable")]
+    mark, full = np.zeros(code.max() + 1, bool), sizes[first]
+    for at in np.split(asks, np.flatnonzero(np.diff(doc[asks])) + 1) if len(asks) else ():
+        x = int(doc[at[0]])
+        near = np.unique(np.concatenate([doc[begin[k] : end[k]] for k in at.tolist()]))
+        near = near[((near < x) | top[near]) & ~(one[near] & one[x] & (comp[piece[first[near]]] == comp[piece[first[x]]]))]
+        near = near[(100 * full[near] >= percent * full[x]) & (100 * full[x] >= percent * full[near])]
+        if not len(near):
+            continue
+        mark[own[first[x]]] = True
+        shared = np.add.reduceat(mark[np.concatenate([own[y] for y in first[near].tolist()])].astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+        mark[own[first[x]]] = False
+        for y in near[100 * shared >= percent * (full[x] + full[near] - shared)].tolist():
+            join(classes[y] + classes[x])
+            one[x] = one[y] = True
+    return [(ids[x], ids[y]) for x, y in pairs]
+
+
+def _classes(code: np.ndarray, of: np.ndarray, sizes: np.ndarray, need: np.ndarray, n: int) -> tuple:
+    """Documents that can be linked at all, the shingles that they share with others, and their classes.
+
+    Shingles of one document alone go, and then documents with fewer left than a link needs. Documents of equal sizes that
+    agree in all that is left are linked with the same ones, and form a class.
+    """
+    alive = np.ones(n, bool)
+    while True:
+        code, of = code[alive[of]], of[alive[of]]
+        shared = np.bincount(code)[code] > 1
+        code, of = code[shared], of[shared]
+        size = np.bincount(of, minlength=n)
+        fit = alive & (size >= need) & (size > 0)
+        if (fit == alive).all():
+            break
+        alive = fit
+    live = np.flatnonzero(alive)
+    if not len(live):
+        return live, {}, [], code, of
+    start = (np.cumsum(size) - size)[live]
+    one, two = (np.add.reduceat(mix64(code.astype(np.uint64) + np.uint64(k)), start) for k in (1, 1 << 40))
+    order = np.lexsort((two, one, sizes[live]))
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (np.diff(sizes[live][order]) == 0)
+    classes = [live[c].tolist() for c in np.split(order, np.flatnonzero(~same) + 1)]
+    heads = [c[0] for c in classes]
+    at = np.cumsum(size) - size
+    return live, {h: code[at[h] : at[h] + size[h]] for h in heads}, classes, code, of
 
 
 def _linked(groups: DataFrame, percent: int, star: bool = False) -> DataFrame:
@@ -242,7 +309,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The first document of each component, with all its columns."""
-    _, of = linked_components(docs, doc_id, text, percent)
-    dropped = of.select(F.col("a").alias("__dropped"))
-    return docs.join(dropped, F.col(doc_id).cast("long") == F.col("__dropped"), "left_anti")
+    """One document of each component, the one of the smallest id, with all its columns whatever their names.
+
+    Here a node is an id with its text, so texts that share an id, or have none, are documents of their own; of rows that
+    agree in both one stays. Ids come before none, and the text's hash decides between equal ids.
+    """
+    of_row = F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+    nodes = docs.select(of_row.alias("node"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    sketch, of = linked_components(nodes, "node", "text", percent)
+    group = of.unionByName(of.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "node")
+    ranked = nodes.select("node", "id").join(group, "node").select("b", F.struct(F.col("id").isNull(), "id", "node").alias("place"))
+    first = ranked.groupBy("b").agg(F.min("place").alias("place")).select("b", F.col("place.node").alias("kept"))
+    dropped = stored(group.join(first, "b").where("node != kept").select("node"))
+    rows = docs.select(F.struct("*").alias("row"), of_row.alias("node")).join(dropped, "node", "left_anti")
+    twice = stored(sketch.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("node")))
+    if not twice.isEmpty():
+        again = rows.join(twice, "node", "left_semi").groupBy("node").agg(F.first("row").alias("row"))
+        rows = rows.join(twice, "node", "left_anti").select("node", "row").unionByName(again)
+    return rows.select("row.*")
