@@ -12,9 +12,14 @@
    bytes, and all but the earliest of equal hashes are covered; each batch settles its own windows first.
 4. The covered ranges of a document meet its text and are cut out.
 
+A document is an id with its text, known by the id and a 64-bit hash of the text (its mark), which also decides between
+documents of one id. Strings are equal if two 64-bit hashes are, that of their anchor and their own, or byte for byte where
+they are merged.
+
 Defined results: a null or empty text has nothing to remove; repeated rows (equal id and text) are one document and keep
-equally much; rows that repeat an id with other texts share that id's places; rows without an id come before all others; an
-empty table gives an empty one.
+equally much; rows that repeat an id with other texts are documents of their own; rows without an id come before all others,
+in the order of their marks; a very long text is one document like any other; extra columns pass through ``without_repeats``
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -72,46 +77,44 @@ def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """anchor, context, doc, place of each occurrence; without a context, those that their chunk has shown to be covered."""
+    """anchor, context, doc, mark, place of each occurrence; without a context, those that their chunk has shown to be covered."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), as_bytes(b.column(1))
+            ids, marks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), as_bytes(b.column(2))
             for i, j in chunks(list(map(len, texts)), 8 << 20):
                 cols = []
                 for p, q in chunks(list(map(len, texts[i:j]))):
                     of, first, n, anchor, context = anchored(texts[i + p : i + q])
-                    cols.append((ids[i + p + of], first << _NUM_BITS | n, anchor, context))
-                doc, place, anchor, context = (np.concatenate(c) for c in zip(*cols, strict=True))
-                order = np.lexsort((place, doc, context, anchor))
-                doc, place, anchor, context = doc[order], place[order], anchor[order], context[order]
+                    cols.append((ids[i + p + of], marks[i + p + of], first << _NUM_BITS | n, anchor, context))
+                own = [np.concatenate(c) for c in zip(*cols, strict=True)]
+                order = np.lexsort((own[2], own[1], own[0], own[4], own[3]))
+                doc, mark, place, anchor, context = (c[order] for c in own)
                 same = np.zeros(len(doc), bool)
                 same[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-                late = same & ((doc != doc[head]) | (place != place[head]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(late, doc, anchor.view(np.int64))), pa.array(context.view(np.int64), mask=late), pa.array(doc), pa.array(place)], names=["anchor", "context", "doc", "place"])
+                late = same & _apart(same, doc, mark, place)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(late, mark, anchor.view(np.int64))), pa.array(context.view(np.int64), mask=late), pa.array(doc), pa.array(mark), pa.array(place)], names=["anchor", "context", "doc", "mark", "place"])
 
-    return docs.mapInArrow(run, "anchor long, context long, doc long, place long")
+    return docs.mapInArrow(run, "anchor long, context long, doc long, mark long, place long")
 
 
 def _settled(anchors: DataFrame) -> DataFrame:
-    """doc, place, anchor, hot: covered occurrences (without an anchor), and the first ones of each context if the anchor has several."""
+    """doc, mark, place, anchor, hot: covered occurrences (without an anchor), and the first ones of each context if the anchor has several."""
     by = "PARTITION BY anchor, context"
     seen = anchors.repartition("anchor").selectExpr(
         "*",
-        f"first_value(doc) OVER ({by} ORDER BY doc, place) AS d",
-        f"first_value(place) OVER ({by} ORDER BY doc, place) AS p",
+        *(f"first_value({c}) OVER ({by} ORDER BY doc, mark, place) AS first_{c}" for c in ("doc", "mark", "place")),
         "min(context) OVER (PARTITION BY anchor) != max(context) OVER (PARTITION BY anchor) AS several",
     )
-    late = "(context IS NULL OR doc != d OR place != p)"
+    late = "(context IS NULL OR doc != first_doc OR mark != first_mark OR place != first_place)"
     counted = seen.selectExpr("*", f"{late} AS late").selectExpr("*", "count_if(NOT late) OVER (PARTITION BY anchor) AS contexts")
-    return counted.where("late OR several").selectExpr("doc", "place", "CASE WHEN NOT late THEN anchor END AS anchor", f"NOT late AND contexts > {MOST_CONTEXTS} AS hot").distinct()
+    return counted.where("late OR several").selectExpr("doc", "mark", "place", "CASE WHEN NOT late THEN anchor END AS anchor", f"NOT late AND contexts > {MOST_CONTEXTS} AS hot").distinct()
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
-    """doc, zipped: the texts, compressed for the shuffle."""
+    """doc, mark, zipped: the texts, compressed for the shuffle."""
 
     def run(batches):
         import pyarrow as pa
@@ -119,9 +122,9 @@ def _zipped(docs: DataFrame) -> DataFrame:
 
         zip_ = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zip_(t) for t in as_bytes(b.column(1))], pa.binary())], names=["doc", "zipped"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([zip_(t) for t in as_bytes(b.column(2))], pa.binary())], names=["doc", "mark", "zipped"])
 
-    return docs.mapInArrow(run, "doc long, zipped binary")
+    return docs.mapInArrow(run, "doc long, mark long, zipped binary")
 
 
 def _unzip():
@@ -131,106 +134,111 @@ def _unzip():
 
 
 def _contexts(docs: DataFrame, several: DataFrame) -> DataFrame:
-    """key, doc, place, bytes of each occurrence whose anchor has several contexts, the key being the anchor.
+    """key, anchor, doc, mark, place, bytes of each occurrence whose anchor has several contexts, the key being the anchor.
 
     Those of a hot anchor give a row a window, the key being the window's hash: without bytes, or with none in them if an
     earlier window of the same batch equals it.
     """
-    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("wanted"))
+    wanted = several.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("wanted"))
 
     def run(batches):
         import pyarrow as pa
 
-        def rows(key, doc, place, parts):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, doc, place, parts), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc", "place", "bytes"])
+        names = ["key", "anchor", "doc", "mark", "place", "bytes"]
+
+        def rows(*cols):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "bytes" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
 
         unzip = _unzip()
         for b in batches:
             hot: list[tuple] = []
-            for doc, zipped, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, mark, zipped, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text, out = unzip(zipped), []
                 for w in own:
                     first, n = w["place"] >> _NUM_BITS, w["place"] & _LOW
                     context = text[first : first + n + LENGTH - 1]
                     if w["hot"]:
                         at = np.arange(max(0, min(n, len(context) - LENGTH + 1)))
-                        hot.append((byte_hashes(np.frombuffer(context, np.uint8), at, at + LENGTH).view(np.int64), np.full(len(at), doc), (first + at) << _NUM_BITS | 1))
+                        hot.append((byte_hashes(np.frombuffer(context, np.uint8), at, at + LENGTH).view(np.int64), *(np.full(len(at), x) for x in (w["anchor"], doc, mark)), (first + at) << _NUM_BITS | 1))
                     else:
-                        out.append((w["anchor"], doc, w["place"], context))
+                        out.append((w["anchor"], w["anchor"], doc, mark, w["place"], context))
                 if out:
                     yield rows(*zip(*out, strict=True))
             if hot:
-                key, doc, place = (np.concatenate(c) for c in zip(*hot, strict=True))
-                order = np.lexsort((place, doc, key))
-                key, doc, place = key[order], doc[order], place[order]
-                late = _later(key, doc, place)
-                yield rows(np.where(late, doc, key), doc, place, [b"" if x else None for x in late.tolist()])
+                own = [np.concatenate(c) for c in zip(*hot, strict=True)]
+                order = np.lexsort(own[::-1])
+                key, anchor, doc, mark, place = (c[order] for c in own)
+                same = np.zeros(len(key), bool)
+                same[1:] = (key[1:] == key[:-1]) & (anchor[1:] == anchor[:-1])
+                late = _apart(same, doc, mark, place)
+                yield rows(np.where(late, mark, key), anchor, doc, mark, place, [b"" if x else None for x in late.tolist()])
 
-    return _zipped(docs).join(wanted, "doc").select("doc", "zipped", "wanted").mapInArrow(run, "key long, doc long, place long, bytes binary")
+    return _zipped(docs).join(wanted, ["doc", "mark"]).select("doc", "mark", "zipped", "wanted").mapInArrow(run, "key long, anchor long, doc long, mark long, place long, bytes binary")
 
 
-def _later(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which rows, sorted by all three, have an earlier place with their key."""
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    return (doc != doc[head]) | (place != place[head])
+def _apart(same: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which rows lie elsewhere than the first one of their group; same: which rows go on with the group before them."""
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return np.logical_or.reduce([p != p[head] for p in place])
 
 
 def _repeated(contexts: DataFrame) -> DataFrame:
-    """doc, place: ranges of windows (with their number) that an earlier window of another context equals."""
+    """doc, mark, place: ranges of windows (with their number) that an earlier window of another context equals."""
 
     def run(batches):
         import pyarrow as pa
 
         held: list[tuple] = []
         size = 0
-        first: tuple = (None, None, None)  # key and place of the first of equal windows
+        first: tuple = (None,) * 6  # the first of equal windows
 
         def done():
-            anchor, doc, place, parts = zip(*held, strict=True)
-            doc, place = np.array(doc, np.int64), np.array(place, np.int64)
+            _, _, doc, mark, place, parts = zip(*held, strict=True)
+            doc, mark, place = np.array(doc, np.int64), np.array(mark, np.int64), np.array(place, np.int64)
             n = np.minimum(place & _LOW, np.fromiter(map(len, parts), np.int64, len(parts)) - LENGTH + 1)
-            part, at = earlier(list(parts), n, doc, place >> _NUM_BITS, LENGTH)
+            turn = np.unique(np.stack([doc, mark], axis=1), axis=0, return_inverse=True)[1].ravel()
+            part, at = earlier(list(parts), n, turn, place >> _NUM_BITS, LENGTH)
             order = np.lexsort((at, part))
             part, at = part[order], at[order]
             new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (at[1:] != at[:-1] + 1)])) if len(part) else np.zeros(0, np.int64)
             runs = np.diff(np.concatenate([new, [len(part)]]))
-            return pa.RecordBatch.from_arrays([pa.array(doc[part[new]]), pa.array(((place[part[new]] >> _NUM_BITS) + at[new]) << _NUM_BITS | runs)], names=["doc", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(doc[part[new]]), pa.array(mark[part[new]]), pa.array(((place[part[new]] >> _NUM_BITS) + at[new]) << _NUM_BITS | runs)], names=["doc", "mark", "place"])
 
         for b in batches:
             late = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not row[3]:
-                    if row[3] is None and row[0] != first[0]:
+                if not row[5]:
+                    if row[5] is None and row[:2] != first[:2]:
                         first = row
-                    elif row[3] is not None or row[1:3] != first[1:3]:
-                        late.append(row[1:3])
+                    elif row[5] is not None or row[2:5] != first[2:5]:
+                        late.append(row[2:5])
                     continue
                 if size > BLOCK_BYTES and row[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
             if late:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*late, strict=True)], names=["doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*late, strict=True)], names=["doc", "mark", "place"])
         if len(held) > 1:
             yield done()
 
-    return contexts.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(run, "doc long, place long")
+    return contexts.repartition("key").sortWithinPartitions("key", "anchor", "doc", "mark", "place").mapInArrow(run, "doc long, mark long, place long")
 
 
-def _ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _ids(docs: DataFrame, doc_id: str, text: str) -> tuple:
+    """doc, mark, text as columns."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(whole).alias("mark"), whole.alias("text")
 
 
 def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, places: of each document with covered bytes, its ranges of repeated windows."""
-    rows = _ids(docs, doc_id, text)
+    """doc, mark, places: of each document with covered bytes, its ranges of repeated windows."""
+    rows = docs.select(*_ids(docs, doc_id, text))
     settled = stored(_settled(_anchors(rows)))
-    late = settled.where("anchor IS NULL").select("doc", "place")
+    late = settled.where("anchor IS NULL").select("doc", "mark", "place")
     again = _repeated(_contexts(rows, settled.where("anchor IS NOT NULL")))
-    return late.unionByName(again).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    return late.unionByName(again).groupBy("doc", "mark").agg(F.collect_list("place").alias("places"))
 
 
 def spans(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +274,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 out.append((None if doc == _NO_ID else doc, len(whole), len(whole) - len(left), n, hashlib.sha256(left).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(),) * 4 + (pa.string(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _zipped(_ids(docs, doc_id, text)).join(covered(docs, doc_id, text), "doc", "left").select("doc", "zipped", "places")
+    rows = _zipped(docs.select(*_ids(docs, doc_id, text))).join(covered(docs, doc_id, text), ["doc", "mark"], "left").select("doc", "zipped", "places")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -283,15 +291,13 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         import pyarrow as pa
 
         for b in batches:
-            texts, places = b.column(at).to_pylist(), b.column(len(out)).to_pylist()
+            cols, places = b.column(0).flatten(), b.column(1).to_pylist()
+            texts = cols[at].to_pylist()
             new = [t if t is None or not p else cut(t.encode(), p)[0].decode(errors="ignore") for t, p in zip(texts, places, strict=True)]
-            cols = list(b.columns[: len(out)])
             cols[at] = pa.array(new, cols[at].type)
             if chars is not None:
                 cols[chars] = pa.array([c if t is None or not p else len(t) for c, t, p in zip(cols[chars].to_pylist(), new, places, strict=True)], cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=out)
 
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
-    spans_ = covered(docs, doc_id, text).withColumnRenamed("doc", "__doc").withColumnRenamed("places", "__places")
-    rows = docs.join(spans_, key == F.col("__doc"), "left").select(*docs.columns, "__places")
-    return rows.mapInArrow(run, T.StructType(schema.fields))
+    rows = docs.select(F.struct("*").alias("row"), *_ids(docs, doc_id, text)[:2])
+    return rows.join(covered(docs, doc_id, text), ["doc", "mark"], "left").select("row", "places").mapInArrow(run, T.StructType(schema.fields))
