@@ -53,19 +53,19 @@ def planned(docs: DataFrame, sizes: DataFrame, seed: int = SEED, **how) -> DataF
     return joined.withColumn("__copies", (F.floor(rate) + extra).cast("int"))
 
 
-def _sized(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    return docs.select("*", F.col(doc_id).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size"))
+def _sized(docs: DataFrame, doc_id: str, source: str, text: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col(doc_id).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The mixed documents, with all their columns, each as often as its source's rate and its hash say."""
-    sized = _sized(docs, doc_id, source, text)
+    """The mixed documents, with all their columns whatever their names, each as often as its source's rate and its hash say."""
+    sized = _sized(docs, doc_id, source, text, F.struct("*").alias("__row"))
     out = planned(sized, sized.select("__source", "__size"), **how)
-    return out.withColumn("__copy", F.explode(F.expr("array_repeat(0, __copies)"))).select(*docs.columns)
+    return out.select("__row", F.explode(F.expr("array_repeat(0, __copies)"))).select("__row.*")
 
 
 def taken(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """What the mix takes of each row: doc_id, size, source_size, target, taken."""
-    sizes = stored(_sized(docs, doc_id, source, text).select("__id", "__source", "__size"))
+    sizes = stored(_sized(docs, doc_id, source, text))
     out = planned(sizes, sizes.select("__source", "__size"), **how)
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
