@@ -29,24 +29,27 @@ CAPACITY, END = 4096, 1
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, the little-endian 32-bit ids of each piece of each row."""
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, row (a number of the row, which tells copies apart) and the zipped ids of each piece of each row."""
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
+        zip_ = zstandard.ZstdCompressor(level=1).compress
         encode, end = Encoder(path or vocabulary("word_bpe_49k.json"), WordLevel), END.to_bytes(4, "little")
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
+            keys, texts, numbers = b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()
             for i, j in chunks(list(map(len, texts))):
                 rows = []
-                for key, own in zip(keys[i:j], encode([t.decode() for t in texts[i:j]]), strict=True):
+                for key, number, own in zip(keys[i:j], numbers[i:j], encode([t.decode() for t in texts[i:j]]), strict=True):
                     own += end
                     for k, at in enumerate(range(0, len(own), 4 * capacity)):
                         part = own[at : at + 4 * capacity]
-                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), *((part,) if ids else ())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
+                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), *((number, zip_(part)) if ids else ())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row", "zipped"][: 5 + 2 * ids])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", row long, zipped binary" * ids)
 
 
 def rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -98,8 +101,8 @@ def rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def placed(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
-    """items with sequence_id and offset; every length is between 1 and the capacity."""
-    others = [c for c in items.columns if c != length]
+    """items with sequence_id and offset; every length is between 1 and the capacity. Ties go by the other columns that aren't binary."""
+    others = [c for c, kind in items.dtypes if c != length and kind != "binary"]
     by = [F.col(length).desc(), *(F.col(c) for c in others)]
     ranged = items.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     ranged = stored(ranged)  # ranges are drawn anew when they are computed anew
@@ -126,14 +129,31 @@ def placed(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -
     return ranged.select(*items.columns, part.cast("int").alias("__part"), row.alias("__row")).mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of the documents."""
-    return placed(stored(pieces(docs, capacity, path, doc_id, text, ids=False)), capacity)
+def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of the documents; with their row and ids if asked for."""
+    where = placed(stored(pieces(docs, capacity, path, doc_id, text, ids)), capacity)
+    if not ids:
+        return where
+    names = [c for c in where.columns if c != "zipped"]
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                own = [np.frombuffer(unzip(z), "<u4") for z in part.column(len(names)).to_pylist()]
+                bounds = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(own).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*names, "ids"])
+
+    schema = T.StructType([*where.select(*names).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return where.select(*names, "zipped").mapInArrow(run, schema)
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """sequence_id and the ids of each whole sequence; a sequence has at most the capacity, so groups are bounded."""
-    whole = stored(pieces(docs, capacity, path).withColumn("__key", F.monotonically_increasing_id()))
-    where = placed(whole.select("__key", "length"), capacity)
-    parts = whole.join(where.drop("length"), "__key").groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return parts.select("sequence_id", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))").alias("ids"))
+    parts = packed(docs, capacity, path, ids=True).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -169,6 +170,15 @@ def test_forest_connects_what_all_pairs_connect():
             assert got == label
 
 
+def test_short_near_copies_that_no_leader_links_take_no_pairs():
+    r = random.Random(37)
+    words = [f"w{k}" for k in range(41)]
+    texts = [" ".join(f"x{i}" if k == at else w for k, w in enumerate(words)).encode() for i, at in enumerate(r.randrange(41) for _ in range(20_000))]
+    began = time.process_time()
+    edges = minhash.forest(list(range(len(texts))), *minhash.shingle_sets(texts))
+    assert time.process_time() - began < 20 and len({x for e in edges for x in e}) > 500
+
+
 def test_neighbours_recall_and_odd_vectors(spark):
     folder = "/root/testdata/sf0.01"
     df = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")

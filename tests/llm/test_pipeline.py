@@ -9,7 +9,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palaver.llm import neighbours, passages, tokens
+from palaver.llm import neighbours, packing, passages, tokens
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,7 +45,7 @@ def _least_of_each_group(rows):
             if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 low, high = sorted((of[a], of[b]))
                 of = {i: low if c == high else c for i, c in of.items()}
-    return [r for r in rows if of[r[0]] == r[0]]
+    return list(dict.fromkeys(r for r in rows if of[r[0]] == r[0]))
 
 
 def _without_repeats(rows):
@@ -110,6 +110,44 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
             gaps.remove(fit)
         gaps.append((fit or 4096) - n)
     assert max(used.values()) <= 4096 and len(used) == len(gaps)
+    assert all(zlib.crc32(np.array(x.ids, "<u4").tobytes()) == x.ids_crc32 and len(x.ids) == x.length for x in got)
+    assert len({(x.row, x.piece) for x in got}) == len(got)
+
+
+def test_sequences_hold_their_pieces_in_order(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * (i * 37 % 90)) for i in range(40)] + [(3, "twice"), (3, "twice")], "doc_id long, text string")
+    parts = packing.packed(docs, 64, ids=True).collect()
+    want: dict = {}
+    for x in sorted(parts, key=lambda x: (x.sequence_id, x.offset)):
+        want.setdefault(x.sequence_id, []).extend(x.ids)
+    assert {x.sequence_id: list(x.ids) for x in packing.sequences(docs, 64).collect()} == want
+
+
+def test_stages_take_any_column_names(spark):
+    extra = "node row doc mark places __row __size __source __target __id __of __copies __source_size __dropped b kept".split()
+    docs = spark.createDataFrame([(i, f"text {i} " + "of some words that go on " * 30, "en", "a", 9, *([i] * len(extra))) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in extra))
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        got = stage(spark, docs, "").collect()
+        assert got and all(x[c] == x.doc_id for x in got for c in extra)
+
+
+def test_rows_that_share_an_id_or_have_none_stay_apart(spark):
+    r = random.Random(31)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c, d = text(300), text(300), text(600), text(500)
+    rows = [(1, a), (5, a + text(50)), (5, b), (None, c), (None, d), (None, d + a), (None, None), (7, d), (7, d)]
+    got = [(x.doc_id, x.n_bytes, x.n_removed) for x in passages.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert (5, 300, 0) in got and (5, 350, 300) in got and (None, 600, 0) in got and (None, 0, 0) in got
+    assert sum(n for i, _, n in got if i is None) == 500 and got.count((7, 500, 500)) == 2 and (1, 300, 300) in got
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(x.doc_id, x.text) for x in corpus_pipeline.passage_dedup(spark, docs, "").collect()}
+    assert {(5, b), (None, c), (None, None)} <= kept
+    words = lambda k: " ".join(f"{k}{r.randrange(10**6)}" for _ in range(60))
+    one, two, three = words("a"), words("b"), words("c")
+    rows = [(1, one), (2, two), (2, one), (None, three), (None, three), (None, one), (3, two), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (2, two), (None, three), (4, None), (5, "")], key=str)
 
 
 def test_near_dedup_links_from_four_fifths(spark):
