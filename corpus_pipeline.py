@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: each stage is written as a table and read again by the next one."""
+"""A corpus from raw documents to packed sequences: each stage is written as a table and read again by the next one.
+
+Defined results: null and empty texts have no words and go with the first stage; of rows that agree in id and text one stays
+after near_dedup; texts that share an id, or have none, are documents of their own; a very long text is one document; other
+columns pass through all stages but the last, whatever their names; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -31,8 +36,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of the documents lies in the packed sequences."""
-    return packing.packed(docs)
+    """Where each piece of the documents lies in the packed sequences, and its ids; ``row`` tells copies of a document apart."""
+    return packing.packed(docs, ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("source_mix", source_mix), ("pack", pack)]
