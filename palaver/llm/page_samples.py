@@ -6,7 +6,12 @@ import random
 
 from .dom import TOKENS
 
-_SYLLABLES = "an be ca de er fo gi ha in jo ka li mo ne or pu qui re sa ti un ve wa xi yo ze".split()
+_SYLLABLES = (
+    "an be ca de er fo gi ha in jo ka li mo ne or pu qui re sa ti un ve wa xi yo ze".split(),
+    "ün sch ei bä ck tz uß ge en ach ich ver zu an".split(),
+    "é ça où eau ê ll ou que in ez à on".split(),
+    "ко ма ть ры на ши до ве".split(),
+)
 
 
 class Writer:
@@ -14,19 +19,21 @@ class Writer:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.syllables = self.r.choice([_SYLLABLES[0], *_SYLLABLES])
+        self.plain = self.r.random() < 0.25  # a page whose class names tell nothing
 
     def words(self, n: int) -> str:
-        return " ".join("".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 3))) for _ in range(max(1, n)))
+        return " ".join("".join(self.r.choices(self.syllables, k=self.r.randint(1, 3))) for _ in range(max(1, n)))
 
     def sentences(self, n: int) -> str:
         return " ".join(self.words(self.r.randint(4, 16)).capitalize() + self.r.choice([".", ".", ".", "!", "?", ", so."]) for _ in range(n))
 
-    def attribute(self, *kinds: str) -> str:
+    def attribute(self, *kinds: str, telling: float = 0.65) -> str:
         """Mostly a telling class or id, sometimes one that tells nothing, sometimes none."""
         x = self.r.random()
-        if x < 0.2:
+        if x < 0.15:
             return ""
-        token = self.r.choice(TOKENS[self.r.choice(kinds)].split()) if x < 0.85 else self.words(1)
+        token = self.r.choice(TOKENS[self.r.choice(kinds)].split()) if x < 0.15 + telling and not self.plain else self.words(1)
         return f' {self.r.choice(["class", "class", "id"])}="{self.r.choice([token, token, "x-" + token, token + "-wrap", "c1 " + token])}"'
 
     def links(self, n: int) -> str:
@@ -45,17 +52,19 @@ class Writer:
             return f"<{tag}{self.attribute('edge')}>{r.choice(['&copy; ' + self.words(3) + ' &middot; ' + say(1), '<p>' + say(r.randint(1, 2)) + '</p>', '<ul>' + self.links(3) + '</ul>', say(1)])}</{tag}>"
         if kind == "side":
             tag = r.choice(["aside", "div", "section"])
-            a = self.attribute("side") if tag == "aside" else f' class="{r.choice(TOKENS["side"].split())}"'
+            a = self.attribute("side", telling=0.65 if tag == "aside" else 0.85)
             return f"<{tag}{a}><h3>{self.words(2)}</h3>{r.choice(['<ul>' + self.links(r.randint(2, 6)) + '</ul>', '<p>' + say(r.randint(1, 4)) + '</p>', '<p>' + say(2) + '</p><p>' + say(1) + '</p>'])}</{tag}>"
         if kind == "form":
             a = r.choice(["", self.attribute("form")])
-            return f"<form{a}><label>{self.words(2)}</label><input name=q><button>{self.words(1)}</button>{r.choice(['', '<p>' + say(1) + '</p>'])}</form>"
+            return f"<form{a}><label>{self.words(2)}</label><input name=q>{r.choice(['', '<textarea>' + self.words(3) + '</textarea>', '<select><option>' + self.words(1) + '<option>' + self.words(2) + '</select>'])}<button>{self.words(1)}</button>{r.choice(['', '<p>' + say(1) + '</p>'])}</form>"
         if kind == "talk":
-            own = "".join(r.choice(["<li><p>{}</p></li>", "<div class=comment><b>x</b><p>{}</p></div>", "<p>{}</p>"]).format(say(r.randint(1, 5))) for _ in range(r.randint(1, 6)))
+            unit = r.choice(["<li><p>{}</p></li>", "<div class=comment><b>x</b><p>{}</p></div>", "<p>{}</p>", "<div class=u1><span>{a}</span> <p>{}</p></div>", "<li class=u2>{a}<br>{}</li>", "<div class=u3><h4>{a}</h4>{}</div>", "<article class=u4><p>{}</p></article>", "{} "])
+            own = "".join(unit.format(say(r.randint(1, 5)), a=self.words(2) + r.choice(["", " 12:30", ", 3.4.2021"])) for _ in range(r.randint(1, 7)))
             tag = r.choice(["div", "section", "ol", "aside"])
-            return f'<{tag} {r.choice(["class", "id"])}="{r.choice(TOKENS["talk"].split())}">{r.choice(["", "<h3>" + self.words(2) + "</h3>"])}{own}</{tag}>'
-        token = r.choice(TOKENS[kind].split())
-        return f"<div {r.choice(['class', 'id'])}=\"{token}\">{r.choice([say(r.randint(1, 3)), '<p>' + say(r.randint(1, 3)) + '</p>', '<p>' + self.words(8) + '</p><a href=#>' + self.words(2) + '</a>'])}</div>"
+            a = f' {r.choice(["class", "id"])}="{self.words(1) if self.plain or r.random() < 0.15 else r.choice(TOKENS["talk"].split())}"'
+            return f'<{tag}{a}>{r.choice(["", "<h3>" + self.words(2) + "</h3>", "<h2>" + self.words(1) + "</h2>"])}{own}</{tag}>'
+        a = f' {r.choice(["class", "id"])}="{self.words(1) if self.plain or r.random() < 0.15 else r.choice(TOKENS[kind].split())}"'
+        return f"<div{a}>{r.choice([say(r.randint(1, 3)), self.words(3) + '! ' + self.words(1), '<p>' + say(r.randint(1, 3)) + '</p>', '<p>' + self.words(8) + '</p><a href=#>' + self.words(2) + '</a>'])}</div>"
 
     def article(self) -> tuple[str, list[str]]:
         r, out, texts = self.r, [], []
@@ -68,7 +77,11 @@ class Writer:
 
         if r.random() < 0.85:
             block(r.choice(["h1", "h1", "h2"]), self.words(r.randint(2, 12)))
-        for _ in range(r.choice([1, 1, 2, 3, 5, 9, 14])):
+        lines = r.random() < 0.05  # an article of lines without paragraphs
+        if lines:
+            texts.append(" ".join(self.sentences(r.randint(2, 5)) for _ in range(r.randint(2, 6))))
+            out.append(texts[-1].replace(". ", ".<br><br>"))
+        for _ in range(0 if lines else r.choice([1, 1, 2, 3, 5, 9, 14])):
             x = r.random()
             if x < 0.75:
                 block("p", self.sentences(r.choice([1, 1, 2, 3, 6, 10])) if r.random() < 0.93 else self.words(r.randint(1, 4)))
@@ -92,7 +105,7 @@ class Writer:
         if wrap < 0.6:
             return f"<main{r.choice(['', self.attribute('main')])}>{inner}</main>", texts
         if wrap < 0.92:
-            return f'<div {r.choice(["class", "id"])}="{r.choice(TOKENS["main"].split())}">{inner}</div>', texts
+            return f'<div {r.choice(["class", "id"])}="{self.words(1) if self.plain else r.choice(TOKENS["main"].split())}">{inner}</div>', texts
         return f"<div>{inner}</div>", texts
 
     def page(self) -> tuple[str, list[str]]:
@@ -108,6 +121,8 @@ class Writer:
         if r.random() < 0.3:
             body = f"<div{r.choice(['', ' class=container', ' id=wrapper'])}>{body}{tail.pop(0) if tail and r.random() < 0.5 else ''}</div>"
         inner = "".join(head) + body + "".join(tail)
+        if r.random() < 0.1:
+            inner = f"{''.join(head[1:])}<table><tr><td>{''.join(head[:1])}</td><td>{body}</td></tr></table>{''.join(tail)}"
         if r.random() < 0.25:
             inner = f"<div class={r.choice(['container', 'layout', 'site', 'wrap'])}>{inner}</div>"
         return f"<!DOCTYPE html><html><head><title>{self.words(4)}</title><style>p{{}}</style></head><body>{inner}" + ("</body></html>" if r.random() < 0.9 else ""), texts
