@@ -1,6 +1,6 @@
 """Plans of Palaver."""
 
-from . import archive, queries, reports
+from . import archive, cases, queries, reports
 
 #: Every query by name, with its SQL.
-ALL = queries.ALL | archive.ALL | reports.ALL
+ALL = queries.ALL | archive.ALL | reports.ALL | cases.ALL
