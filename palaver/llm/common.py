@@ -49,6 +49,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frugal(run):
+    """A task's function that gives free memory back when it ends: Python workers serve later stages, beside a full heap of the JVM."""
+
+    def own(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return own
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x.astype(np.uint64, copy=True)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, as_bytes, chunks, mix64, spans_hash, stored
+from .common import Texts, as_bytes, chunks, frugal, mix64, spans_hash, stored
 from .graph import components
 
 SHINGLE, BAND, PERCENT, MISSED = 5, 3, 85, 0.0004
@@ -92,7 +92,7 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * 2 * n), flat)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc_id", "n_shingles", "one", "two", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), "doc_id long, n_shingles long, one long, two long, bands array<long>")
 
 
 def _candidates(classes: DataFrame, n: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _linked(groups: DataFrame, percent: int, star: bool = False) -> DataFrame:
         if len(ids) > 1:
             yield done()
 
-    return groups.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text", "label").mapInArrow(run, "a long, b long")
+    return groups.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text", "label").mapInArrow(frugal(run), "a long, b long")
 
 
 def _star_parts(large: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Encoder, WordLevel
-from .common import as_bytes, chunks, stored
+from .common import as_bytes, chunks, frugal, stored
 from .tokens import vocabulary
 
 CAPACITY, END = 4096, 1
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, d
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row", "zipped"][: 5 + 2 * ids])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", row long, zipped binary" * ids)
+    return rows.mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", row long, zipped binary" * ids)
 
 
 def rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -126,7 +126,7 @@ def placed(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(r[:, 1] + k // r[:, 2]), pa.array(r[:, 3] + k % r[:, 2] * r[:, 4])], names=names)
 
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranged.select(*items.columns, part.cast("int").alias("__part"), row.alias("__row")).mapInArrow(run, schema)
+    return ranged.select(*items.columns, part.cast("int").alias("__part"), row.alias("__row")).mapInArrow(frugal(run), schema)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -150,7 +150,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, d
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*names, "ids"])
 
     schema = T.StructType([*where.select(*names).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return where.select(*names, "zipped").mapInArrow(run, schema)
+    return where.select(*names, "zipped").mapInArrow(frugal(run), schema)
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import earlier
-from .common import as_bytes, byte_hashes, chunks, stored
+from .common import as_bytes, byte_hashes, chunks, frugal, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that are merged at once; the contexts of one anchor stay together.
@@ -97,7 +97,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 late = same & _apart(same, doc, mark, place)
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(late, mark, anchor.view(np.int64))), pa.array(context.view(np.int64), mask=late), pa.array(doc), pa.array(mark), pa.array(place)], names=["anchor", "context", "doc", "mark", "place"])
 
-    return docs.mapInArrow(run, "anchor long, context long, doc long, mark long, place long")
+    return docs.mapInArrow(frugal(run), "anchor long, context long, doc long, mark long, place long")
 
 
 def _settled(anchors: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _zipped(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([zip_(t) for t in as_bytes(b.column(2))], pa.binary())], names=["doc", "mark", "zipped"])
 
-    return docs.mapInArrow(run, "doc long, mark long, zipped binary")
+    return docs.mapInArrow(frugal(run), "doc long, mark long, zipped binary")
 
 
 def _unzip():
@@ -173,7 +173,7 @@ def _contexts(docs: DataFrame, several: DataFrame) -> DataFrame:
                 late = _apart(same, doc, mark, place)
                 yield rows(np.where(late, mark, key), anchor, doc, mark, place, [b"" if x else None for x in late.tolist()])
 
-    return _zipped(docs).join(wanted, ["doc", "mark"]).select("doc", "mark", "zipped", "wanted").mapInArrow(run, "key long, anchor long, doc long, mark long, place long, bytes binary")
+    return _zipped(docs).join(wanted, ["doc", "mark"]).select("doc", "mark", "zipped", "wanted").mapInArrow(frugal(run), "key long, anchor long, doc long, mark long, place long, bytes binary")
 
 
 def _apart(same: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ def _repeated(contexts: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield done()
 
-    return contexts.repartition("key").sortWithinPartitions("key", "anchor", "doc", "mark", "place").mapInArrow(run, "doc long, mark long, place long")
+    return contexts.repartition("key").sortWithinPartitions("key", "anchor", "doc", "mark", "place").mapInArrow(frugal(run), "doc long, mark long, place long")
 
 
 def _ids(docs: DataFrame, doc_id: str, text: str) -> tuple:
@@ -275,7 +275,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(),) * 4 + (pa.string(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _zipped(docs.select(*_ids(docs, doc_id, text))).join(covered(docs, doc_id, text), ["doc", "mark"], "left").select("doc", "zipped", "places")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -300,4 +300,4 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays(cols, names=out)
 
     rows = docs.select(F.struct("*").alias("row"), *_ids(docs, doc_id, text)[:2])
-    return rows.join(covered(docs, doc_id, text), ["doc", "mark"], "left").select("row", "places").mapInArrow(run, T.StructType(schema.fields))
+    return rows.join(covered(docs, doc_id, text), ["doc", "mark"], "left").select("row", "places").mapInArrow(frugal(run), T.StructType(schema.fields))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, as_bytes, byte_hashes, chunks, mix64
+from .common import Texts, as_bytes, byte_hashes, chunks, frugal, mix64
 
 #: Documents of the sample at most, and the share of the table that it draws from.
 SAMPLE_ROWS, SAMPLE_SHARE = 1000, 0.02
@@ -164,7 +164,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
                 kept = judge(texts[i:j], ordered)
                 yield b.slice(i, j - i).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,4 +185,4 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "do
                 kept[passed] = judge([texts[i + k] for k in passed], tuple(r for r in ordered if r.name not in ("few_words", "repeated_words")))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(base[m].astype(np.int64)) for m in BASE), pa.array(failed), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "kept"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in BASE) + ", base_failed boolean, kept boolean")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), "doc_id long, " + ", ".join(f"{m} long" for m in BASE) + ", base_failed boolean, kept boolean")

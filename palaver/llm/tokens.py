@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteLevel, Encoder
-from .common import as_bytes, chunks
+from .common import as_bytes, chunks, frugal
 
 
 def vocabulary(name: str) -> str:
@@ -33,4 +33,4 @@ def counted(docs: DataFrame, limit: int = 512, path: str | None = None, doc_id:
                 n = encode([t.decode() for t in texts[i:j]])
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(list(map(len, texts[i:j])), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
