@@ -1,6 +1,6 @@
 """Plans of Palaver."""
 
-from . import archive, cases, queries, reports
+from . import archive, cases, queries, reports, transcripts
 
 #: Every query by name, with its SQL.
-ALL = queries.ALL | archive.ALL | reports.ALL | cases.ALL
+ALL = queries.ALL | archive.ALL | reports.ALL | cases.ALL | transcripts.ALL
