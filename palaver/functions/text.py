@@ -26,16 +26,21 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
 
+def text_lines(text: Column) -> Column:
+    """Lines, without white space around them or the text."""
+    return F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
 def is_pasted(text: Column, lines: int = 8, share: float = 0.35) -> Column:
-    """So many lines or more, of which few are distinct."""
-    own = F.split(text, "\n")
-    return (F.size(own) >= lines) & (F.size(F.array_distinct(own)) / F.size(own) < share)
+    """Of a text of so many lines or more whether few are distinct; null of others."""
+    own = text_lines(text)
+    return F.when(F.size(own) >= lines, F.size(F.array_distinct(own)) / F.size(own) < share)
 
 
-def is_question(text: Column) -> Column:
-    """At most 240 characters that end in a question mark or begin with an English question word."""
-    short = F.length(text) <= 240
-    return short & (F.rtrim(text).rlike(r"[?？]$") | F.lower(F.ltrim(text)).rlike(r"^(how|what|why|when|where|who|which|can|could|does|is|are|should)\b"))
+def mostly_pasted(text: Column) -> Column:
+    """P15, an aggregate: whether at least half of a session's long texts are dumps."""
+    dump = is_pasted(text)
+    return (F.count(dump) > 0) & (2 * F.count_if(dump) >= F.count(dump))
 
 
 #: Assignments of secrets: a name, then a quoted value of 16 characters or more.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.language import friction, stripped
+
 
 def overview(messages: DataFrame) -> DataFrame:
     """Sessions, messages and the archive's first and last time."""
@@ -39,12 +41,48 @@ def recurring(walls: DataFrame, least: int = 3) -> DataFrame:
     return walls.groupBy("signature").agg(F.countDistinct("session_id").alias("sessions"), F.max("ts").alias("last")).where(F.col("sessions") >= least)
 
 
-def fixes(events: DataFrame, wall: str = "error", ahead: int = 10) -> DataFrame:
-    """The first other event among so many after each wall, unless the wall repeats before it; counted by pair."""
+def fixes(events: DataFrame, wall: str = "error", command: str = "click", ahead: int = 10, quiet: int = 6) -> DataFrame:
+    """The first command among so many events after each wall, unless the wall is back within so many events after that command."""
     by = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    nxt = events.select("*", F.min(F.when(F.col("kind") != wall, F.struct("ts", "event_id", "kind"))).over(by.rowsBetween(1, ahead)).alias("fix"), F.min(F.when((F.col("kind") == wall), F.struct("ts", "event_id", "signature"))).over(by.rowsBetween(1, ahead)).alias("again"))
-    clear = F.col("again").isNull() | (F.struct("again.ts", "again.event_id") > F.struct("fix.ts", "fix.event_id")) | (F.col("again.signature") != F.col("signature"))
-    return nxt.where((F.col("kind") == wall) & F.col("fix").isNotNull() & clear).groupBy("signature", F.col("fix.kind").alias("fix")).agg(F.count("*").alias("n"))
+    rows = events.withColumn("i", F.row_number().over(by))
+    near = rows.select("*", F.min(F.when(F.col("kind") == command, F.struct("i", "event_id"))).over(by.rowsBetween(1, ahead)).alias("fix"), F.collect_list(F.when(F.col("kind") == wall, F.struct("i", "signature"))).over(by.rowsBetween(1, ahead + quiet)).alias("walls"))
+    back = F.exists("walls", lambda w: (w["signature"] == F.col("signature")) & (w["i"] > F.col("fix.i")) & (w["i"] <= F.col("fix.i") + quiet))
+    return near.where((F.col("kind") == wall) & F.col("fix").isNotNull() & ~back).select("session_id", "event_id", "signature", F.col("fix.event_id").alias("fix_id"))
+
+
+#: Words of errors and commands that tell nothing of what they are about.
+COMMON_TERMS = "bash sudo true false null file http https test main head tail grep echo error command found cannot unable failed usage fatal invalid unknown expected missing".split()
+
+
+def _telling_terms(text: Column) -> Column:
+    trimmed = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_./-]{4,}"), F.lit(0)), lambda t: F.regexp_replace(t, r"^[/.]+|[/.]+$", ""))
+    return F.array_distinct(F.filter(trimmed, lambda t: (F.char_length(t) >= 4) & ~t.isin(COMMON_TERMS)))
+
+
+def mined_fixes(records: DataFrame, ahead: int = 10, quiet: int = 6, longest: int = 200) -> DataFrame:
+    """Pairs of an error line and the command that ended it, newest of each; those that share no term and happened once are candidates.
+
+    records: session_id, seq, role, text, ts. What installs something may hold the term within a longer name.
+    """
+    by = Window.partitionBy("session_id").orderBy("seq")
+    lines = F.when(F.col("role").isin("tool-output", "assistant"), F.filter(F.transform(F.split("text", "\n"), friction), lambda x: x.isNotNull()))
+    command = F.when(F.col("role") == "command", stripped(F.substring_index("text", "\n", 1)))
+    rows = records.select("session_id", "seq", "ts", lines.alias("lines"), F.when((command != "") & (F.octet_length(command) <= longest), command).alias("command")).withColumn("i", F.row_number().over(by))
+    near = rows.select("*", F.min(F.when(F.col("command").isNotNull(), F.struct("i", "command", "ts"))).over(by.rowsBetween(1, ahead)).alias("fix"), F.collect_list(F.when(F.size("lines") > 0, F.struct("i", "lines"))).over(by.rowsBetween(1, ahead + quiet)).alias("walls"))
+    error = F.get("lines", F.lit(0))
+    back = F.exists("walls", lambda w: F.array_contains(w["lines"], error) & (w["i"] > F.col("fix.i")) & (w["i"] <= F.col("fix.i") + quiet))
+    pairs = near.where(error.isNotNull() & F.col("fix").isNotNull() & ~back).select(error.alias("error"), F.col("fix.command").alias("command"), F.col("fix.ts").alias("ts"))
+    known, used = _telling_terms(F.col("error")), F.filter(F.transform(F.regexp_extract_all(F.lower("command"), F.lit(r"[a-z0-9_./-]{4,}"), F.lit(0)), lambda t: F.regexp_replace(t, r"^[/.]+|[/.]+$", "")), lambda t: F.char_length(t) >= 4)
+    shares = F.arrays_overlap(known, used) | (F.lower("command").rlike(r"\binstall\b") & F.exists(used, lambda u: F.exists(known, lambda k: F.contains(u, k))))
+    own = pairs.withColumn("shares", F.coalesce(shares, F.lit(False))).groupBy("error", F.lower("command").alias("key"))
+    return own.agg(F.max_by("command", "ts").alias("command"), F.max("ts").alias("ts"), (~F.bool_or("shares") & (F.count("*") < 2)).alias("candidate")).drop("key")
+
+
+def fixes_for(pairs: DataFrame, pasted: str, most: int = 3) -> DataFrame:
+    """What ended any of the errors that a pasted text holds; pasted is one short text, candidates don't count."""
+    spark = pairs.sparkSession
+    lines = spark.createDataFrame([(x,) for x in pasted.split("\n")], "line string").select(friction(F.col("line")).alias("error")).where("error is not null").distinct()
+    return pairs.where("not candidate").join(F.broadcast(lines), "error").orderBy(F.desc("ts"), "command").limit(most)
 
 
 def near_in_time(left: DataFrame, right: DataFrame, minutes: int = 20) -> DataFrame:
@@ -63,8 +101,8 @@ def latest_state(notes: DataFrame) -> DataFrame:
 
 
 def deduplicated(messages: DataFrame) -> DataFrame:
-    """One row of each session, role and text, the earliest."""
-    return messages.groupBy("session_id", "role", "text").agg(F.min("seq").alias("seq"))
+    """One row of each session, role, time and text, the earliest; the same words at another time are another turn."""
+    return messages.groupBy("session_id", "role", "ts", "text").agg(F.min("seq").alias("seq"))
 
 
 def without(rows: DataFrame, forgotten: DataFrame, key: str) -> DataFrame:

@@ -35,12 +35,15 @@ def matching(texts: DataFrame, pattern: str, text: str = "text") -> DataFrame:
 def bm25(texts: DataFrame, terms: list[str], key: str, text: str = "text", is_user: Column | None = None) -> DataFrame:
     """BM25 (k1 = 1.2, b = 0.75) over the sessions that hold a term; turns of users count 30 % more.
 
+    A session's length is the geometric mean of its words and of the words of its texts that hold a term.
+
     One pass counts every term's occurrences per session; corpus figures are one row, joined back by broadcast.
     """
     user = is_user if is_user is not None else F.lit(False)
     own = texts.select(key, words(F.col(text)).alias("w"), user.alias("u"))
     tf = lambda t: F.size(F.filter("w", lambda x: x == t))
-    per = own.groupBy(key).agg(F.sum(F.size("w")).alias("len"), *(F.sum(tf(t)).alias(f"tf{i}") for i, t in enumerate(terms)), *(F.sum(F.when(F.col("u"), tf(t)).otherwise(0)).alias(f"ut{i}") for i, t in enumerate(terms)))
+    held = F.arrays_overlap("w", F.array(*map(F.lit, terms)))
+    per = own.groupBy(key).agg(F.floor(F.sqrt((F.sum(F.size("w")) * F.sum(F.when(held, F.size("w")).otherwise(0))).cast("double"))).alias("len"), *(F.sum(tf(t)).alias(f"tf{i}") for i, t in enumerate(terms)), *(F.sum(F.when(F.col("u"), tf(t)).otherwise(0)).alias(f"ut{i}") for i, t in enumerate(terms)))
     per = per.where(sum(F.col(f"tf{i}") for i in range(len(terms))) > 0)
     corpus = per.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
     norm = F.col("len") / F.col("avg") * 0.75 + 0.25
@@ -80,10 +83,23 @@ def neighbours_of_tokens(texts: DataFrame, session: str, text: str = "text", mos
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
 
 
-def cosine_to(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k vectors nearest to one query vector by cosine; the query is one row and is broadcast."""
-    q = query.select(F.col("embedding").alias("q"))
+def cosines(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """vec_id and score of all vectors against one query vector (one row, which is broadcast); 0 for other lengths and without a norm."""
+    q = query.select(F.col("embedding").alias("q")).limit(1)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     rows = vectors.crossJoin(F.broadcast(q))
     score = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    return rows.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    same = F.size("embedding") == F.size("q")
+    return rows.select("vec_id", F.round(F.when(same, F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0))).otherwise(0.0), 6).alias("score"))
+
+
+def cosine_to(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """The k vectors nearest to one query vector by cosine."""
+    return cosines(vectors, query).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def semantic(vectors: DataFrame, query: DataFrame, session: str, floor: float = 0.55, k: int = 10) -> DataFrame:
+    """The best message of each session whose cosine reaches the floor, the first k sessions."""
+    scored = cosines(vectors, query).where(F.col("score") >= floor).join(vectors.select("vec_id", session), "vec_id")
+    best = scored.groupBy(session).agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("b"))
+    return best.select(session, (-F.col("b.v")).alias("vec_id"), F.col("b.score").alias("score")).orderBy(F.desc("score"), session).limit(k)

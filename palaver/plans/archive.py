@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import language as L_
 from ..functions import text as T
+from ..functions.language import ASKING
 from ..operators import history as H
 from ..operators import lookups as L
 from ..operators import mining as M
 from ..operators import ranking as R
 from ..operators import search as S
 from ..sources.tables import messages, notes, table, usage
-from .queries import _MESSAGES, _TOKENS, _USAGE, TERMS, _bm25_sql, _rank
+from .queries import PASTED, _MESSAGES, _TOKENS, _USAGE, TERMS, _bm25_sql, _rank
 
 _NOW = "2024-06-01 00:00:00"
 _RULES = {"src0": False, "src7": False, "imported": False, "*": True}
@@ -34,19 +36,20 @@ _RUNS = f"(SELECT session_id, ts, upper(kind[1]) || kind[2:] || ' ' || signature
 
 def _boosted(s, d):
     m = messages(s, d)
-    own = m.groupBy("session_id").agg(F.max("ts").alias("updated"), F.bool_or(F.col("role") == "system").alias("note"), F.bool_or(T.is_question(F.col("text"))).alias("decided"), F.bool_or(T.is_pasted(F.col("text"))).alias("pasted"), (F.count("*") < 4).alias("gave_up"))
+    own = m.groupBy("session_id").agg(F.max("ts").alias("updated"), F.bool_or(F.col("role") == "system").alias("note"), F.bool_or(L_.is_question(F.col("text"))).alias("decided"), T.mostly_pasted(F.col("text")).alias("pasted"), (F.count("*") < 4).alias("gave_up"))
     rows = S.bm25(m, TERMS, "session_id").join(own, "session_id").join(M.worn(usage(s, d)), "session_id", "left")
     age = (F.unix_timestamp(F.lit(_NOW).cast("timestamp")) - F.unix_timestamp("updated")) / 86400
     return rows.select("session_id", F.round(R.boosted(F.col("score"), age, F.coalesce("recalls", F.lit(0)), *map(F.col, ("note", "decided", "pasted", "gave_up"))), 8).alias("score"))
 
 
-_QUESTION = r"(length(text) <= 240 AND (regexp_matches(rtrim(text), '[?？]$') OR regexp_matches(ltrim(lower(text)), '^(how|what|why|when|where|who|which|can|could|does|is|are|should)\b')))"
-_PASTED = "(len(string_split(text, chr(10))) >= 8 AND len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10))) < 0.35)"
+_STRIPPED = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_FIRST = rf"regexp_replace(regexp_extract(lower({_STRIPPED}), '^[^\s\p{{Z}}]+'), '^[,.:;!\"'']+|[,.:;!\"'']+$', '', 'g')"
+_QUESTION = f"(length({_STRIPPED}) <= 240 AND (regexp_matches({_STRIPPED}, '[?？]$') OR list_contains({ASKING}, {_FIRST})))"
 
 
 def _hybrid(s, d):
     e = table(s, d, "embeddings")
-    cosines = S.cosine_to(e, e.where("vec_id = 0"), 2_000_000_000).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("cosine"))
+    cosines = S.cosines(e, e.where("vec_id = 0")).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("cosine"))
     return R.hybrid(S.bm25(table(s, d, "documents"), TERMS, "doc_id"), cosines, "doc_id")
 
 
@@ -55,8 +58,13 @@ def _first(s, d, k):
 
 
 def _superseded(s, d):
-    m = messages(s, d).withColumn("project", F.col("session_id") % 3)
-    return H.superseded(_rank(S.top(S.bm25(m, ["the", "die", "les"], "session_id"), 50, "session_id"), "session_id"), m, "project", share=0.2)
+    """Documents as sessions of a project a language, a day each."""
+    day = F.timestamp_add("DAY", F.col("doc_id"), F.lit("2024-01-01").cast("timestamp"))
+    m = table(s, d, "documents").select(F.col("doc_id").alias("session_id"), "text", day.alias("ts"), F.col("lang").alias("project"))
+    return H.superseded(_rank(S.top(S.bm25(m, ["onand"], "session_id"), 50, "session_id"), "session_id"), m, "project")
+
+
+_DAYS = "(SELECT doc_id AS session_id, text, lang AS project, TIMESTAMP '2024-01-01' + to_days(doc_id::INT) AS ts FROM documents)"
 
 
 def _pushed(s, d):
@@ -103,18 +111,18 @@ ALL = {
     "files_topic_score": (lambda s, d: H.topic_paths(usage(s, d).where("kind = 'click'"), M.near_in_time(usage(s, d).where("kind = 'error'"), usage(s, d).where("kind = 'click'")).select(F.col("right_id").alias("event_id")), "signature", "event_id"), f"""WITH c AS (SELECT * FROM {_USAGE} WHERE kind = 'click'), n AS (SELECT DISTINCT c.event_id FROM c JOIN {_USAGE} e ON e.kind = 'error' AND e.session_id = c.session_id AND abs(epoch_us(e.ts) - epoch_us(c.ts)) < 1200000000),
         g AS (SELECT signature, count(*) AS total, count(n.event_id) AS near, count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (n.event_id IS NOT NULL) AS near_sessions FROM c LEFT JOIN n USING (event_id) GROUP BY signature)
         SELECT signature, total, near, round(near_sessions * (near / total) * ln(1 + near) * ln(1 + (SELECT count(DISTINCT session_id) FROM c) / sessions), 9) AS score FROM g WHERE near > 0"""),
-    "superseded_attempts": (_superseded, f"""WITH r AS (SELECT session_id, row_number() OVER (ORDER BY score DESC, session_id) AS place FROM ({_bm25_sql(_MESSAGES, 'session_id', ['the', 'die', 'les'], 'false')} ORDER BY score DESC, session_id LIMIT 50)),
-        o AS (SELECT session_id, place, session_id % 3 AS project, max(ts) AS updated, list_distinct(flatten(list({_TOKENS}))) AS w FROM {_MESSAGES} JOIN r USING (session_id) GROUP BY ALL)
-        SELECT a.session_id, arg_min(b.session_id, b.place) AS newer FROM o a JOIN o b ON a.project = b.project AND b.updated > a.updated + INTERVAL 24 HOURS WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.2 GROUP BY a.session_id"""),
+    "superseded_attempts": (_superseded, f"""WITH r AS (SELECT session_id, row_number() OVER (ORDER BY score DESC, session_id) AS place FROM ({_bm25_sql(_DAYS, 'session_id', ['onand'], 'false')} ORDER BY score DESC, session_id LIMIT 50)),
+        o AS (SELECT session_id, place, project, max(ts) AS updated, list_distinct(flatten(list({_TOKENS}))) AS w FROM {_DAYS} JOIN r USING (session_id) GROUP BY ALL)
+        SELECT a.session_id, arg_min(b.session_id, b.place) AS newer FROM o a JOIN o b ON a.project = b.project AND b.updated > a.updated + INTERVAL 24 HOURS WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6 GROUP BY a.session_id"""),
     "word_bigrams": (lambda s, d: H.bigrams(messages(s, d)), f"SELECT p[1] AS word, p[2] AS next, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: [w[i], w[i + 1]])) AS p FROM (SELECT {_WORDS} AS w FROM {_MESSAGES}) WHERE len(w) > 1) GROUP BY ALL HAVING count(*) >= 2"),
     "substring_expand": (lambda s, d: R.expanded(S.token_catalog(table(s, d, "documents"), "doc_id"), _FUZZY), f"SELECT term, token FROM (SELECT DISTINCT unnest({_TOKENS}) AS token FROM documents) JOIN (SELECT unnest({_FUZZY}) AS term) ON contains(token, term)"),
     "fuzzy_tokens": (lambda s, d: R.fuzzy(S.token_catalog(table(s, d, "documents"), "doc_id"), _FUZZY), f"SELECT term, token, (term != token)::INT AS distance, row_number() OVER (PARTITION BY term ORDER BY term != token, token) AS place FROM (SELECT DISTINCT unnest({_TOKENS}) AS token FROM documents) JOIN (SELECT unnest({_FUZZY}) AS term) ON {_ONE_EDIT} QUALIFY place <= 8"),
     "relevance_rank": (lambda s, d: R.relevance(messages(s, d), _RARE), _relevance_sql(_RARE)),
-    "boosted_rank": (_boosted, f"""WITH b AS ({_bm25_sql(_MESSAGES, 'session_id', TERMS, 'false')}), o AS (SELECT session_id, max(ts) AS updated, bool_or(role = 'system') AS note, bool_or({_QUESTION}) AS decided, bool_or({_PASTED}) AS pasted, count(*) < 4 AS gave_up FROM {_MESSAGES} GROUP BY session_id),
+    "boosted_rank": (_boosted, f"""WITH b AS ({_bm25_sql(_MESSAGES, 'session_id', TERMS, 'false')}), o AS (SELECT session_id, max(ts) AS updated, bool_or(role = 'system') AS note, bool_or({_QUESTION}) AS decided, {PASTED} AS pasted, count(*) < 4 AS gave_up FROM {_MESSAGES} GROUP BY session_id),
         u AS (SELECT session_id, count(*) AS n FROM {_USAGE} WHERE kind = 'view' GROUP BY session_id HAVING count(*) >= 2), a AS (SELECT *, (epoch(TIMESTAMP '{_NOW}') - epoch(updated)) / 86400 AS age FROM b JOIN o USING (session_id) LEFT JOIN u USING (session_id))
         SELECT session_id, round(score * CASE WHEN note THEN 1.25 ELSE 1 END * CASE WHEN decided THEN 2 ELSE 1 END * CASE WHEN pasted THEN 0.5 ELSE 1 END * CASE WHEN gave_up AND NOT decided THEN 0.5 ELSE 1 END * least(1.5, 1 + 0.1 * log2(1 + coalesce(n, 0))) * CASE WHEN age < 0 THEN 1 ELSE 1 / (1 + age) END, 8) AS score FROM a"""),
     "hybrid_rerank": (_hybrid, f"""WITH h AS ({_bm25_sql('documents', 'doc_id', TERMS, 'false')} ORDER BY score DESC, doc_id LIMIT 64), b AS (SELECT min(score) AS low, max(score) AS high FROM h), c AS (SELECT e.vec_id AS doc_id, max(round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0 GROUP BY 1)
         SELECT doc_id, round(0.5 * CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1 END + 0.5 * coalesce(cosine, 0), 6) AS score FROM h CROSS JOIN b LEFT JOIN c USING (doc_id)"""),
     "rejected_demote": (lambda s, d: R.demoted(_first(s, d, 50), M.latest_state(notes(s, d)).select(F.col("key").alias("doc_id"), "state"), "doc_id", "F"), f"SELECT doc_id, row_number() OVER (ORDER BY (state IS NOT DISTINCT FROM 'F')::INT, place) AS place FROM ({_DOC_RANK % 50}) LEFT JOIN (SELECT o_custkey AS doc_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY 1) USING (doc_id)"),
-    "question_detect": (lambda s, d: messages(s, d).where(T.is_question(F.col("text"))).select("session_id", "seq"), f"SELECT session_id, seq FROM {_MESSAGES} WHERE {_QUESTION}"),
+    "question_detect": (lambda s, d: messages(s, d).where(L_.is_question(F.col("text"))).select("session_id", "seq"), f"SELECT session_id, seq FROM {_MESSAGES} WHERE {_QUESTION}"),
 }
