@@ -2,30 +2,39 @@
 
 Vectors get one more component, sqrt(M * M - |x| * |x|) with M the largest length, and queries a zero there; the largest
 inner product is then the smallest angle. Trees are fitted on a bounded sample: each node splits its part of the sample at
-the median along the line between two of its members. Every vector is put into one leaf of each tree. For a query the
-leaves of all trees wait in one queue by their least margin on the way from the root, and the first ``VISITS`` are opened,
-or as many more as let ``TRY_QUERIES`` sampled queries, held against every vector, find the share ``FOUND`` of their own;
-queries meet leaves in a co-grouped join, and the exact inner products decide. Of equal vectors only the 21 smallest ids
-can be among anyone's 20 nearest, so the others are left out before the search. A leaf that more than ``MEET_ROWS`` vectors
-or queries reach is dealt into parts of both, and each pair of parts meets in a group of its own.
+the median along the line between two of its members. Every vector is put into one leaf of each tree. For a query one heap
+holds nodes of all trees by their least margin on the way from the root: the first node is taken out, its margin is computed
+and its children are put in, until so many leaves have come out; queries meet leaves in a co-grouped join, and the exact
+inner products decide. How many leaves, and at which depth trees are cut into leaves, is settled by ``TRY_QUERIES`` sampled
+queries, held against every vector in blocks: of the depths at which the first leaves hold the share ``FOUND`` of their
+nearest, the one that costs least (see ``settled``). Vectors in clusters take small leaves and few of them; for vectors
+without any structure no index helps, and most of them are scored, since the results must be found all the same.
+
+Of equal vectors only the 21 smallest ids can be among anyone's 20 nearest, so the others are left out before the search. A
+leaf that more than ``MEET_ROWS`` vectors or queries reach is dealt into parts of both, and each pair of parts meets in a
+group of its own.
 
 Defined results: vectors that are null, empty, zero or hold a null or a value that isn't finite take no part; nor do those
-of another dimension than most have; a query with fewer than ``k`` candidates gets all of them; ties go to the smaller id;
-rows that repeat id and vector are one; an empty table gives an empty one.
+of another dimension than most have; a query with fewer than ``k`` candidates gets all of them; ties, by the very score that
+is returned, go to the smaller id; rows that repeat id and vector are one, rows that repeat an id with other vectors are
+candidates and queries each under that id, and the best score of a pair of ids counts; other columns aren't read; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, stored
 
-#: Vectors of the sample that trees are fitted on, at most; trees; vectors of a leaf; leaves opened for a query, at least.
-FIT_ROWS, TREES, LEAF_ROWS, VISITS, SEED = 16_384, 8, 512, 192, 23
-#: Queries on which the number of opened leaves is settled, and the share of their nearest that these must find.
-TRY_QUERIES, FOUND = 64, 0.97
+#: Vectors of the sample that trees are fitted on, at most; trees; vectors of a leaf, at least; leaves opened for a query, at least.
+FIT_ROWS, TREES, LEAF_ROWS, VISITS, SEED = 65_536, 8, 64, 16, 23
+#: Queries on which depth and number of opened leaves are settled, the share of their nearest that these must find, and the scorings that sending a query to a leaf costs as much as.
+TRY_QUERIES, FOUND, SENT = 128, 0.95, 32
 #: Vectors, and queries, of a leaf that one group may hold.
 MEET_ROWS = 16_384
 
@@ -35,6 +44,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, leaves: int, trees: int = TREES, seed: int = SEED):
         self.depth = max(0, int(np.ceil(np.log2(max(leaves, 1)))))
+        self.full = self.depth
         inner, dim = (1 << self.depth) - 1, sample.shape[1]
         self.normal = np.zeros((trees, inner, dim))
         self.cut = np.zeros((trees, inner))
@@ -57,18 +67,24 @@ class Forest:
         """The leaf of each vector in each tree, numbered across trees."""
         out = np.zeros((len(vectors), len(self.normal)), np.int64)
         for t in range(len(self.normal)):
-            margins = vectors @ self.normal[t].T - self.cut[t]
             node = np.zeros(len(vectors), np.int64)
             for _ in range(self.depth):
-                node = 2 * node + 1 + (margins[np.arange(len(vectors)), node] >= 0)
+                margin = np.einsum("ij,ij->i", vectors, self.normal[t][node]) - self.cut[t][node]
+                node = 2 * node + 1 + (margin >= 0)
             out[:, t] = (t << self.depth) + node - ((1 << self.depth) - 1)
         return out
 
+    def cut_at(self, depth: int) -> Forest:
+        """The same trees, with the nodes at this depth as leaves."""
+        self.depth = depth
+        return self
+
     def waits(self, queries: np.ndarray) -> np.ndarray:
-        """The place of each leaf in the one queue of each query: the higher, the sooner."""
+        """The place of each leaf in the one queue of each query, the higher, the sooner; for a few queries."""
         all_ = []
         for t in range(len(self.normal)):
-            margins = queries @ self.normal[t].T - self.cut[t]
+            own = slice(0, (1 << self.depth) - 1)
+            margins = queries @ self.normal[t, own].T - self.cut[t, own]
             wait = np.full((len(queries), 1), np.inf)
             for level in range(self.depth):
                 own = margins[:, (1 << level) - 1 : (2 << level) - 1]
@@ -76,11 +92,18 @@ class Forest:
             all_.append(wait)
         return np.concatenate(all_, axis=1)
 
-    def nearest_leaves(self, queries: np.ndarray, visits: int) -> np.ndarray:
-        """The first leaves that one queue over all trees gives each query."""
-        wait = self.waits(queries)
-        visits = min(visits, wait.shape[1])
-        return np.argpartition(-wait, visits - 1, axis=1)[:, :visits]
+    def nearest_leaves(self, query: np.ndarray, visits: int) -> list[int]:
+        """The first leaves that come out of one heap over the nodes of all trees."""
+        heap, out, inner = [(-np.inf, t, 0) for t in range(len(self.normal))], [], (1 << self.depth) - 1
+        while heap and len(out) < visits:
+            wait, t, node = heappop(heap)
+            if node >= inner:
+                out.append((t << self.depth) + node - inner)
+                continue
+            margin = float(self.normal[t, node] @ query) - float(self.cut[t, node])
+            heappush(heap, (max(wait, margin), t, 2 * node + 1))
+            heappush(heap, (max(wait, -margin), t, 2 * node + 2))
+        return out
 
 
 def _prepared(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -135,19 +158,31 @@ def _exact(index: DataFrame, ids: list[int], values: list[bytes], k: int) -> Dat
     return index.select("id", "v").mapInArrow(run, "query_id long, v binary, score double").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "v")
 
 
-def enough(forest: Forest, most: float, index: DataFrame, asking: DataFrame, k: int, least: int) -> int:
-    """The leaves to open, so many at least, for the sampled queries to find what they must. At most TRY_QUERIES * k vectors are collected."""
+def settled(forest: Forest, most: float, index: DataFrame, asking: DataFrame, n: int, k: int, least: int) -> int:
+    """Cuts the trees at the cheapest depth and gives the leaves to open there, so many at least, for the sampled queries to find what they must.
+
+    At most TRY_QUERIES * k vectors are collected. A depth costs the vectors in the opened leaves, and SENT for each leaf.
+    """
     tried = asking.orderBy(F.xxhash64("id"), "id").limit(TRY_QUERIES).collect()
     near = _exact(index, [r["id"] for r in tried], [r["v"] for r in tried], k).collect() if tried else []
     if not near:
         return least
-    order = np.argsort(-forest.waits(_wider(_matrix(r["v"] for r in tried), None)), axis=1, kind="stable")
+    row = {r["id"]: i for i, r in enumerate(tried)}
+    of = np.array([row[r["query_id"]] for r in near])
+    queries, found = _wider(_matrix(r["v"] for r in tried), None), _wider(_matrix(r["v"] for r in near), most)
+    _, visits, depth = min((*_cost(forest.cut_at(d), queries, found, of, n, least), d) for d in range(forest.full + 1))
+    forest.cut_at(depth)
+    return visits
+
+
+def _cost(forest: Forest, queries: np.ndarray, found: np.ndarray, of: np.ndarray, n: int, least: int) -> tuple[float, int]:
+    """What opening enough leaves of this depth costs, and how many they are."""
+    order = np.argsort(-forest.waits(queries), axis=1, kind="stable")
     turn = np.empty_like(order)
     np.put_along_axis(turn, order, np.arange(1, order.shape[1] + 1)[None, :], axis=1)
-    row = {r["id"]: i for i, r in enumerate(tried)}
-    leaves = forest.leaves_of(_wider(_matrix(r["v"] for r in near), most))
-    first = turn[np.array([row[r["query_id"]] for r in near])[:, None], leaves].min(axis=1)
-    return max(least, int(np.quantile(first, FOUND, method="higher")))
+    first = turn[of[:, None], forest.leaves_of(found)].min(axis=1)
+    visits = min(order.shape[1], max(least, int(np.quantile(first, FOUND, method="higher"))))
+    return visits * (n / (1 << forest.depth) + SENT), visits
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", visits: int = VISITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -163,7 +198,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     index = stored(rows.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k + 1).select("id", "v", "length"))
     n, most = index.agg(F.count("*"), F.max("length")).first()
     sample = _matrix(r.v for r in index.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect())
-    forest = spark.sparkContext.broadcast(Forest(_wider(sample, most), min(-(-n // leaf_rows), FIT_ROWS // 8)))  # at most FIT_ROWS / 8 nodes a tree
+    asking, index = rows.where(is_query(F.col("id"))).select("id", "v"), index.select("id", "v")
+    trees = Forest(_wider(sample, most), min(-(-n // leaf_rows), FIT_ROWS // 8))  # at most FIT_ROWS / 8 nodes a tree
+    visits = settled(trees, most, index, asking, n, k, visits)
+    forest = spark.sparkContext.broadcast(trees)
 
     def to_leaves(queries: bool, parts=None):
         def run(batches):
@@ -173,7 +211,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
                 for at in range(0, b.num_rows, 512):
                     part = b.slice(at, 512)
                     x = _matrix(part.column(1).to_pylist())
-                    leaves = forest.value.nearest_leaves(_wider(x, None), visits) if queries else forest.value.leaves_of(_wider(x, most))
+                    leaves = np.array([forest.value.nearest_leaves(q, visits) for q in _wider(x, None)]) if queries else forest.value.leaves_of(_wider(x, most))
                     width = leaves.shape[1]
                     leaf, which = leaves.ravel(), np.repeat(np.arange(part.num_rows), width)
                     if parts is None:
@@ -197,15 +235,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
         if not len(ids) or not len(own):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         out, q = [], _matrix(queries["v"])
+        most_ = np.sqrt((x * x).sum(axis=1).max())
         for at in range(0, len(own), 256):
-            score = q[at : at + 256] @ x.T
+            part = q[at : at + 256]
+            score = part @ x.T
             score[own[at : at + 256, None] == ids[None, :]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            r, c = np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
-            found = np.isfinite(score[r, c])
-            out.append((at + r[found], c[found]))
-        r, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": (q[r] * x[c]).sum(axis=1)})
+            # all that may be among the first k by the sum that is returned, whose rounding differs
+            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(part), -np.inf)
+            slack = 1e-12 * most_ * np.sqrt((part * part).sum(axis=1))
+            r, c = np.nonzero((score >= (least - slack)[:, None]) & np.isfinite(score))
+            sums = (part[r] * x[c]).sum(axis=1)
+            order = np.lexsort((ids[c], -sums, r))
+            r, c, sums = r[order], c[order], sums[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+            out.append((at + r[first], c[first], sums[first]))
+        r, c, sums = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": sums})
 
     def dealt(df: DataFrame, queries: bool) -> np.ndarray:
         """The number of parts of each leaf; there are at most TREES * FIT_ROWS / 8 leaves."""
@@ -214,8 +259,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
             n[r["leaf"]] = -(-r["count"] // MEET_ROWS)
         return n
 
-    asking, index = rows.where(is_query(F.col("id"))).select("id", "v"), index.select("id", "v")
-    visits = enough(forest.value, most, index, asking, k, visits)
     parts = spark.sparkContext.broadcast((dealt(asking, True), dealt(index, False)))
     asked = asking.mapInArrow(to_leaves(True, parts), "leaf long, pair long, id long, v binary")
     members = index.mapInArrow(to_leaves(False, parts), "leaf long, pair long, id long, v binary")

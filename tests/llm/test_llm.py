@@ -197,6 +197,40 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_in_clusters_are_found_by_few_scorings(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    centres = rng.standard_normal((2_100, 64))
+    x = np.repeat(centres, 25, axis=0) + 0.2 * rng.standard_normal((52_500, 64))
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))}))
+    seen, settled = [], neighbours.settled
+    monkeypatch.setattr(neighbours, "settled", lambda forest, *a: seen.append((settled(forest, *a), forest)) or seen[0][0])
+    got = neighbours.nearest(df, lambda i: i % 20 == 0).toPandas()
+    visits, forest = seen[0]
+    assert visits / (1 << forest.depth) <= 0.1  # of the vectors scored for a query
+    score = x[::20] @ x.T
+    score[np.arange(len(score)), np.arange(0, len(x), 20)] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20]
+    own = got.groupby("query_id").vec_id.apply(set)
+    assert len(own) == len(score) and np.mean([len(own[20 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.9
+
+
+def test_neighbours_cut_ties_by_the_returned_score_and_take_odd_rows(spark):
+    rows = [(i, [float(i % 3 == j) for j in range(4)], 7) for i in range(300)]
+    rows += [(20, [0.0, 0.0, 0.5, 0.0], 7), (20, [0.0, 0.0, 0.5, 0.0], 7), (400, [1.0, 0.0, 0.0, 0.0], 7), (None, [1.0] * 4, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long")
+    want = []
+    for q in {r[0] for r in rows if r[0] is not None and r[0] % 20 == 0}:
+        best: dict = {}
+        for a, u, _ in rows:
+            for b, v, _ in rows:
+                if a == q and b is not None and b != q:
+                    best[b] = max(best.get(b, -9), sum(m * n for m, n in zip(u, v, strict=True)))
+        want += [(q, n + 1, b, s) for n, (b, s) in enumerate(sorted(best.items(), key=lambda z: (-z[1], z[0]))[:20])]
+    assert sorted(map(tuple, neighbours.nearest(df, lambda i: i % 20 == 0).collect())) == sorted(want)
+
+
 def test_licences_on_held_out_and_planted_lines(spark):
     assert licences.Scanner(spark).accuracy > 0.98
     text = "prose of a kind\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0."
