@@ -61,7 +61,7 @@ def _superseded(s, d):
     """Documents as sessions of a project a language, a day each."""
     day = F.timestamp_add("DAY", F.col("doc_id"), F.lit("2024-01-01").cast("timestamp"))
     m = table(s, d, "documents").select(F.col("doc_id").alias("session_id"), "text", day.alias("ts"), F.col("lang").alias("project"))
-    return H.superseded(_rank(S.top(S.bm25(m, ["onand"], "session_id"), 50, "session_id"), "session_id"), m, "project")
+    return H.superseded(_rank(S.top(S.bm25(m, ["der"], "session_id"), 50, "session_id"), "session_id"), m, "project")
 
 
 _DAYS = "(SELECT doc_id AS session_id, text, lang AS project, TIMESTAMP '2024-01-01' + to_days(doc_id::INT) AS ts FROM documents)"
@@ -111,7 +111,7 @@ ALL = {
     "files_topic_score": (lambda s, d: H.topic_paths(usage(s, d).where("kind = 'click'"), M.near_in_time(usage(s, d).where("kind = 'error'"), usage(s, d).where("kind = 'click'")).select(F.col("right_id").alias("event_id")), "signature", "event_id"), f"""WITH c AS (SELECT * FROM {_USAGE} WHERE kind = 'click'), n AS (SELECT DISTINCT c.event_id FROM c JOIN {_USAGE} e ON e.kind = 'error' AND e.session_id = c.session_id AND abs(epoch_us(e.ts) - epoch_us(c.ts)) < 1200000000),
         g AS (SELECT signature, count(*) AS total, count(n.event_id) AS near, count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (n.event_id IS NOT NULL) AS near_sessions FROM c LEFT JOIN n USING (event_id) GROUP BY signature)
         SELECT signature, total, near, round(near_sessions * (near / total) * ln(1 + near) * ln(1 + (SELECT count(DISTINCT session_id) FROM c) / sessions), 9) AS score FROM g WHERE near > 0"""),
-    "superseded_attempts": (_superseded, f"""WITH r AS (SELECT session_id, row_number() OVER (ORDER BY score DESC, session_id) AS place FROM ({_bm25_sql(_DAYS, 'session_id', ['onand'], 'false')} ORDER BY score DESC, session_id LIMIT 50)),
+    "superseded_attempts": (_superseded, f"""WITH r AS (SELECT session_id, row_number() OVER (ORDER BY score DESC, session_id) AS place FROM ({_bm25_sql(_DAYS, 'session_id', ["der"], "false")} ORDER BY score DESC, session_id LIMIT 50)),
         o AS (SELECT session_id, place, project, max(ts) AS updated, list_distinct(flatten(list({_TOKENS}))) AS w FROM {_DAYS} JOIN r USING (session_id) GROUP BY ALL)
         SELECT a.session_id, arg_min(b.session_id, b.place) AS newer FROM o a JOIN o b ON a.project = b.project AND b.updated > a.updated + INTERVAL 24 HOURS WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6 GROUP BY a.session_id"""),
     "word_bigrams": (lambda s, d: H.bigrams(messages(s, d)), f"SELECT p[1] AS word, p[2] AS next, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: [w[i], w[i + 1]])) AS p FROM (SELECT {_WORDS} AS w FROM {_MESSAGES}) WHERE len(w) > 1) GROUP BY ALL HAVING count(*) >= 2"),
