@@ -4,8 +4,12 @@ Each rule is a cost and a verdict over arrays. On a sample of the documents the
 rejects are measured; the rules then run in the order of rejections per cost, each only over documents that none has
 rejected so far. The order changes the time taken, never the verdict.
 
+The rules: too few words; repeated windows of words; many symbols; mostly repeated lines; words too short or too long; nearly
+all lines bullets; many lines that end in an ellipsis; many words without a letter; one pair of words all over the text.
+
 Defined results: a null or empty text has no words, so it fails ``few_words``. Rows are judged one by one: repeated rows
-and repeated ids get equal verdicts. Other columns pass through ``keep`` untouched, whatever their names.
+and repeated ids get equal verdicts, and a very long text is judged whole. Other columns pass through ``keep`` untouched,
+whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Texts, as_bytes, byte_hashes, chunks, frugal, mix64
 
-#: Documents of the sample at most, and the share of the table that it draws from.
-SAMPLE_ROWS, SAMPLE_SHARE = 1000, 0.02
+#: Documents of the sample, about: each is drawn by chance, so that they come from the whole table.
+SAMPLE_ROWS = 1000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -72,6 +76,42 @@ def _repeat_words(t: Texts) -> np.ndarray:
     return t.per_words(total[WINDOW:] > total[: len(t.word_starts)])
 
 
+def _bullets(t: Texts) -> np.ndarray:
+    """Lines whose first word begins with a hyphen, an asterisk or a bullet."""
+    starts, _, of = _lines(t)
+    at = t.word_starts[np.searchsorted(t.word_starts, starts)]
+    b = np.concatenate([t.bytes, [10, 10]])
+    return np.bincount(of[(b[at] == 45) | (b[at] == 42) | ((b[at] == 0xE2) & (b[at + 1] == 0x80) & (b[at + 2] == 0xA2))], minlength=t.n)
+
+
+def _ellipses(t: Texts) -> np.ndarray:
+    """Lines whose last word ends in three full stops or an ellipsis."""
+    _, ends, of = _lines(t)
+    last = t.word_ends[np.searchsorted(t.word_ends, ends, "right") - 1] if len(ends) else ends
+    b = np.concatenate([[10, 10, 10], t.bytes])  # shifted by three: the last three bytes are at last to last + 2
+    dots = (b[last] == 46) & (b[last + 1] == 46) & (b[last + 2] == 46)
+    return np.bincount(of[dots | ((b[last] == 0xE2) & (b[last + 1] == 0x80) & (b[last + 2] == 0xA6))], minlength=t.n)
+
+
+def _alphabetic(t: Texts) -> np.ndarray:
+    """Words that hold a letter: of ASCII, or any character beyond it."""
+    low = t.bytes | 32
+    total = np.concatenate([[0], np.cumsum(((low >= 97) & (low <= 122)) | (t.bytes >= 128))])
+    return t.per_words(total[t.word_ends] > total[t.word_starts])
+
+
+def _top_pair(t: Texts) -> np.ndarray:
+    """How often a text holds its most frequent pair of words."""
+    at, key = t.windows(t.word_hashes(), 2)
+    of = t.word_text()[at]
+    key = mix64(key + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    head = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]])) if len(order) else np.zeros(0, np.int64)
+    out = np.zeros(t.n, np.int64)
+    np.maximum.at(out, of[order[head]], np.diff(np.concatenate([head, [len(order)]])))
+    return out
+
+
 MEASURES: dict[str, Callable[[Texts], np.ndarray]] = {
     "n_words": lambda t: t.n_words,
     "word_chars": _word_chars,
@@ -79,6 +119,10 @@ MEASURES: dict[str, Callable[[Texts], np.ndarray]] = {
     "n_dup_lines": _dup_lines,
     "n_repeat_words": _repeat_words,
     "n_lines": _full_lines,
+    "n_bullets": _bullets,
+    "n_ellipses": _ellipses,
+    "n_alphabetic": _alphabetic,
+    "n_top_pair": _top_pair,
 }
 
 
@@ -98,13 +142,17 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda n, s: 10 * s > n),
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda n, d: 2 * d > n),
     Rule("word_length", ("n_words", "word_chars"), lambda n, c: (c < 2 * n) | (c > 15 * n)),
+    Rule("bullets", ("n_lines", "n_bullets"), lambda n, b: 10 * b > 9 * n),
+    Rule("ellipses", ("n_lines", "n_ellipses"), lambda n, e: 10 * e > 3 * n),
+    Rule("alphabetic", ("n_words", "n_alphabetic"), lambda n, a: 10 * a < 6 * n),
+    Rule("one_pair", ("n_words", "n_top_pair"), lambda n, p: 10 * p > n),
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(texts: list[bytes], rules: tuple[Rule, ...], timed: dict | None = None) -> np.ndarray:
-    """Which texts pass every rule. A rule sees those that passed the rules before it; what it measured serves the later ones."""
-    rows, view, have = np.arange(len(texts)), Texts(texts), {}
+def judge(texts: list[bytes], rules: tuple[Rule, ...], timed: dict | None = None, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Which texts pass every rule. A rule sees those that passed the rules before it; what it measured, or is known, serves the later ones."""
+    rows, view, have = np.arange(len(texts)), Texts(texts), dict(known or {})
     alive = np.ones(len(texts), bool)
     for rule in rules:
         began = time.perf_counter()
@@ -141,7 +189,9 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
                     judge(texts[i:j], (r,), seen)
         yield pa.RecordBatch.from_pydict({"rule": list(seen), "seconds": [float(v[0]) for v in seen.values()], "n": [float(v[1]) for v in seen.values()], "out": [float(v[2]) for v in seen.values()]})
 
-    sample = docs.select(F.col(text).alias("text")).sample(SAMPLE_SHARE, seed=11).limit(SAMPLE_ROWS)
+    texts_ = docs.select(F.col(text).alias("text"))
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    sample = texts_.sample(share, seed=11) if share < 1 else texts_
     worth: dict[str, list[float]] = {}
     for r in sample.mapInArrow(measure, "rule string, seconds double, n double, out double").collect():  # a row a rule and task
         s = worth.setdefault(r.rule, [0.0, 0.0, 0.0])
@@ -182,7 +232,8 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "do
                 failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
                 passed = np.flatnonzero(~failed)
                 kept = np.zeros(j - i, bool)
-                kept[passed] = judge([texts[i + k] for k in passed], tuple(r for r in ordered if r.name not in ("few_words", "repeated_words")))
+                known = {m: v[passed] for m, v in base.items()}
+                kept[passed] = judge([texts[i + k] for k in passed], tuple(r for r in ordered if r.name not in ("few_words", "repeated_words")), known=known)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(base[m].astype(np.int64)) for m in BASE), pa.array(failed), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "kept"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), "doc_id long, " + ", ".join(f"{m} long" for m in BASE) + ", base_failed boolean, kept boolean")

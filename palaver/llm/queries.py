@@ -71,12 +71,16 @@ SQL = {
         g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM m WHERE len(w) >= 8)),
         twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
         c AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 8) t(k) GROUP BY r),
+        p AS (SELECT r, max(n) AS n FROM (SELECT r, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM m WHERE len(w) >= 2) GROUP BY ALL) GROUP BY r),
         f AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
                      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-                     coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS lines FROM m LEFT JOIN c USING (r)),
+                     coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS lines, coalesce(p.n, 0) AS top_pair,
+                     len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS ellipses,
+                     len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS alphabetic FROM m LEFT JOIN c USING (r) LEFT JOIN p USING (r)),
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+               NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                    OR 10 * bullets > 9 * lines OR 10 * ellipses > 3 * lines OR 10 * alphabetic < 6 * n_words OR 10 * top_pair > n_words) AS kept
         FROM b""",
     "op6_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

@@ -32,6 +32,19 @@ def test_equals_sql(name, against_sql):
     against_sql(QUERIES[name], SQL[name])
 
 
+def test_every_quality_rule_rejects_its_own_texts():
+    r = random.Random(43)
+    prose = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(3, 8))) for _ in range(n))
+    bad = {
+        "few_words": prose(5), "repeated_words": prose(10) + (" " + prose(1)) * 3 + " a b c d e f g h i" * 8, "symbols": prose(30) + " # | $ %", "repeated_lines": "\n".join([prose(8)] * 3),
+        "word_length": "a " * 30, "bullets": "\n".join(f"{c} {prose(9)}" for c in "-*•-"), "ellipses": "\n".join(f"{prose(9)}{e}" for e in ("...", "…", " .", "")), "alphabetic": prose(15) + " 12 34 5 6 7 8 9 10 11 13 14 15 16", "one_pair": " ".join(f"{prose(3)} my own" for _ in range(9)),
+    }
+    for rule in quality.RULES:
+        kept = quality.judge([bad[rule.name].encode(), prose(60).encode(), b""], (rule,))
+        assert kept[:2].tolist() == [False, True], rule.name
+    assert quality.judge([prose(60).encode()], quality.RULES).all()
+
+
 def test_every_operator_takes_odd_and_empty_tables(spark, odd):
     calls = (quality.measured, quality.keep, mixing.taken, mixing.mix, minhash.near_duplicates, minhash.deduplicated, passages.removed, passages.without_repeats, packing.packed, tokens.counted, licences.scanned)
     grown = {"mix", "packed", "scanned", "keep", "deduplicated"}

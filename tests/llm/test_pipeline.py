@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -34,7 +35,15 @@ def _passes(text):
         seen.setdefault(tuple(words[i : i + 8]), []).append(i)
     again = {i + k for own in seen.values() if len(own) > 1 for i in own for k in range(8)}
     chars, symbols = sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or ""))
-    return not (n < 20 or 100 * len(again) > 30 * n or 10 * symbols > n or 2 * (len(lines) - len(set(lines))) > len(lines) or chars < 2 * n or chars > 15 * n)
+    return not (n < 20 or 100 * len(again) > 30 * n or 10 * symbols > n or 2 * (len(lines) - len(set(lines))) > len(lines) or chars < 2 * n or chars > 15 * n or _more_rules(words, lines))
+
+
+def _more_rules(words, lines):
+    pairs = Counter(zip(words, words[1:]))
+    bullets = sum(bool(re.match(r"[ \t\r\f\v]*[-*•]", x)) for x in lines)
+    ellipses = sum(bool(re.search(r"(\.\.\.|…)[ \t\r\f\v]*$", x)) for x in lines)
+    alphabetic = sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7f]", w)) for w in words)
+    return 10 * bullets > 9 * len(lines) or 10 * ellipses > 3 * len(lines) or 10 * alphabetic < 6 * len(words) or 10 * max(pairs.values(), default=0) > len(words)
 
 
 def _least_of_each_group(rows):
