@@ -91,6 +91,33 @@ def test_chat_round_trip():
         assert not any(c in chat.escape(t) for c in (*chat.MARKS, *chat.FOREIGN))
 
 
+def test_chat_takes_nulls_ties_repeats_and_long_turns(spark):
+    rows = [(1, 1, "assistant", "b</s>", 9), (1, 0, "user", None, 9), (1, 1, "assistant", "a", 9), (1, 1, None, "z", 9), (1, 1, "assistant", "a", 9), (None, 0, "user", "n", 9), (None, None, "assistant", "m", 9), (2, 0, "assistant", "long \\ <|turn|> " * 20_000, 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids long")
+    got = {x.conv_id: x for x in chat.read_back(chat.assembled(df)).collect()}
+    for key in (1, None, 2):
+        own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x, _ in rows if c == key))
+        loss = "".join(x for *_, r, x in own if r == "assistant")
+        assert got[key].n_turns == len(own) and got[key].loss_chars == len(loss)
+        assert got[key].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in own).encode()).hexdigest()
+        assert got[key].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat.read_back(chat.assembled(df.limit(0))).count() == 0
+
+
+def test_counts_and_ids_of_a_whole_table_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text or "" for r in rows]
+    for file, split in (("byte_bpe_50k.json", bpe.ByteLevel), ("word_bpe_49k.json", bpe.WordLevel)):
+        path = tokens.vocabulary(file)
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(path, split)(texts)] == want
+    got = {r.doc_id: r.n_tokens for r in tokens.counted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    want = {r.doc_id: len(e.ids) for r, e in zip(rows, Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False), strict=True)}
+    assert got == want
+
+
 def _brute_removal(rows):
     first, out = {}, {}
     for i, t in sorted(rows):
