@@ -6,9 +6,9 @@ the median along the line between two of its members. Every vector is put into o
 holds nodes of all trees by their least margin on the way from the root: the first node is taken out, its margin is computed
 and its children are put in, until so many leaves have come out; queries meet leaves in a co-grouped join, and the exact
 inner products decide. How many leaves, and at which depth trees are cut into leaves, is settled by ``TRY_QUERIES`` sampled
-queries, held against every vector in blocks: of the depths at which the first leaves hold the share ``FOUND`` of their
-nearest, the one that costs least (see ``settled``). Vectors in clusters take small leaves and few of them; for vectors
-without any structure no index helps, and most of them are scored, since the results must be found all the same.
+queries, held against every vector in blocks: the deepest level at which ``MOST_VISITS`` leaves hold the share ``FOUND`` of
+their nearest. Vectors in clusters take small leaves; for vectors without any structure no index helps, leaves are large and
+most vectors are scored, since the results must be found all the same.
 
 Of equal vectors only the 21 smallest ids can be among anyone's 20 nearest, so the others are left out before the search. A
 leaf that more than ``MEET_ROWS`` vectors or queries reach is dealt into parts of both, and each pair of parts meets in a
@@ -33,8 +33,8 @@ from .common import mix64, stored
 
 #: Vectors of the sample that trees are fitted on, at most; trees; vectors of a leaf, at least; leaves opened for a query, at least.
 FIT_ROWS, TREES, LEAF_ROWS, VISITS, SEED = 65_536, 8, 64, 16, 23
-#: Queries on which depth and number of opened leaves are settled, the share of their nearest that these must find, and the scorings that sending a query to a leaf costs as much as.
-TRY_QUERIES, FOUND, SENT = 128, 0.95, 32
+#: Queries on which depth and number of opened leaves are settled, the share of their nearest that these must find, and the leaves that a query opens at most.
+TRY_QUERIES, FOUND, MOST_VISITS = 128, 0.95, 64
 #: Vectors, and queries, of a leaf that one group may hold.
 MEET_ROWS = 16_384
 
@@ -158,10 +158,11 @@ def _exact(index: DataFrame, ids: list[int], values: list[bytes], k: int) -> Dat
     return index.select("id", "v").mapInArrow(run, "query_id long, v binary, score double").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "v")
 
 
-def settled(forest: Forest, most: float, index: DataFrame, asking: DataFrame, n: int, k: int, least: int) -> int:
-    """Cuts the trees at the cheapest depth and gives the leaves to open there, so many at least, for the sampled queries to find what they must.
+def settled(forest: Forest, most: float, index: DataFrame, asking: DataFrame, k: int, least: int) -> int:
+    """Cuts the trees at the deepest level at which ``MOST_VISITS`` leaves are enough for the sampled queries; gives how many are.
 
-    At most TRY_QUERIES * k vectors are collected. A depth costs the vectors in the opened leaves, and SENT for each leaf.
+    So the leaves opened for a query, and what they give back, don't grow with the table; how large they are follows from how
+    much structure the vectors have. At most TRY_QUERIES * k vectors are collected.
     """
     tried = asking.orderBy(F.xxhash64("id"), "id").limit(TRY_QUERIES).collect()
     near = _exact(index, [r["id"] for r in tried], [r["v"] for r in tried], k).collect() if tried else []
@@ -170,19 +171,20 @@ def settled(forest: Forest, most: float, index: DataFrame, asking: DataFrame, n:
     row = {r["id"]: i for i, r in enumerate(tried)}
     of = np.array([row[r["query_id"]] for r in near])
     queries, found = _wider(_matrix(r["v"] for r in tried), None), _wider(_matrix(r["v"] for r in near), most)
-    _, visits, depth = min((*_cost(forest.cut_at(d), queries, found, of, n, least), d) for d in range(forest.full + 1))
-    forest.cut_at(depth)
+    for depth in range(forest.full, -1, -1):
+        visits = needed(forest.cut_at(depth), queries, found, of, least)
+        if visits <= MOST_VISITS:
+            break
     return visits
 
 
-def _cost(forest: Forest, queries: np.ndarray, found: np.ndarray, of: np.ndarray, n: int, least: int) -> tuple[float, int]:
-    """What opening enough leaves of this depth costs, and how many they are."""
+def needed(forest: Forest, queries: np.ndarray, found: np.ndarray, of: np.ndarray, least: int) -> int:
+    """How many leaves, so many at least, let the queries find the share FOUND of vectors found for them (of: for which)."""
     order = np.argsort(-forest.waits(queries), axis=1, kind="stable")
     turn = np.empty_like(order)
     np.put_along_axis(turn, order, np.arange(1, order.shape[1] + 1)[None, :], axis=1)
     first = turn[of[:, None], forest.leaves_of(found)].min(axis=1)
-    visits = min(order.shape[1], max(least, int(np.quantile(first, FOUND, method="higher"))))
-    return visits * (n / (1 << forest.depth) + SENT), visits
+    return min(order.shape[1], max(least, int(np.quantile(first, FOUND, method="higher"))))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", visits: int = VISITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -200,7 +202,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     sample = _matrix(r.v for r in index.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect())
     asking, index = rows.where(is_query(F.col("id"))).select("id", "v"), index.select("id", "v")
     trees = Forest(_wider(sample, most), min(-(-n // leaf_rows), FIT_ROWS // 8))  # at most FIT_ROWS / 8 nodes a tree
-    visits = settled(trees, most, index, asking, n, k, visits)
+    visits = settled(trees, most, index, asking, k, visits)
     forest = spark.sparkContext.broadcast(trees)
 
     def to_leaves(queries: bool, parts=None):
