@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.language import clipped, decides, gives_up, has_word, sentences
-from ..functions.scalars import base_name, mention_count, mention_level, path_matches, trimmed
+from ..functions.scalars import base_name, mention_count, mention_level, nfc, path_matches, trimmed
 
 WORK = ("files", "command", "edit")
 
@@ -30,6 +32,21 @@ def of_role(messages: DataFrame, metas: DataFrame, role: str) -> DataFrame:
     return messages.where(F.col("role") == {"tool": "tool-output"}.get(role, role)).join(metas, "session_id")
 
 
+def verified(messages: DataFrame, terms: list[str], fold: tuple[str, str] = ("", "")) -> DataFrame:
+    """Messages that hold all terms as they are written, composed, or with characters read as others (fold)."""
+    low = F.lower("text")
+    composed = F.lower(nfc(F.col("text")))
+    forms = [low, composed, F.translate(composed, *fold) if fold[0] else composed]
+    read = lambda t: "".join(fold[1][fold[0].index(c)] if c in fold[0] else c for c in t)
+    met = F.lit(False)
+    for i, form in enumerate(forms):
+        every = F.lit(True)
+        for t in terms:
+            every = every & F.contains(form, F.lit(read(t) if i == 2 else unicodedata.normalize("NFC", t.lower()) if i else t.lower()))
+        met = met | every
+    return messages.where(met)
+
+
 def spoken_of(messages: DataFrame, terms: list[str]) -> DataFrame:
     """Sessions in which a person or an assistant says one of the terms."""
     says = F.lit(False)

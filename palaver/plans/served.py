@@ -130,6 +130,8 @@ ALL = {
     "r18_page": (_fused_page, f"WITH r AS ({_bm25_sql('documents', 'doc_id', TERMS, 'false')}) SELECT doc_id, score, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) > 15 AS capped FROM r ORDER BY score DESC, doc_id LIMIT 5 OFFSET 10"),
     "s39_envelope": (lambda s, d: V.envelope(s.createDataFrame([(1, 2.5, 3, True), (2, 1.5, 3, True)], "id long, score double, total long, capped boolean"), "exact", "id"), rows_sql(["envelope"], [('{"schema_version":2,"tier":"exact","total":3,"capped":true,"hits":[{"id":1,"score":2.5},{"id":2,"score":1.5}]}',)])),
     "p01_session_filter": (lambda s, d: V.matching_sessions(metas(s, d), "en", "SRC1", "local", F.lit("2024-03-01").cast("timestamp")).select("session_id"), f"SELECT session_id FROM {_META} WHERE harness = 'en' AND contains(lower(project), 'src1') AND machine IS NULL AND updated >= TIMESTAMP '2024-03-01'"),
+    "p05_verified": (lambda s, d: V.verified(s.createDataFrame([(0, "the cafe\u0301 is open"), (1, "the caf\u00e9"), (2, "數據庫 café"), (3, "cafe")], "id long, text string"), ["caf\u00e9"], ("數據庫", "数据库")).select("id"), rows_sql(["id"], [(0,), (1,), (2,)])),
+    "p05_folded": (lambda s, d: V.verified(s.createDataFrame([(0, "這個數據庫"), (1, "这个数据库"), (2, "x")], "id long, text string"), ["数据库"], ("數據庫", "数据库")).select("id"), rows_sql(["id"], [(0,), (1,)])),
     "p19_spoken": (lambda s, d: V.spoken_of(messages(s, d), ["onand", "der"]), rf"SELECT DISTINCT session_id FROM {_MESSAGES} WHERE role IN ('user', 'assistant') AND (regexp_matches(' ' || lower(text), '[^\p{{L}}\p{{Nd}}]onand') OR regexp_matches(' ' || lower(text) || ' ', '[^\p{{L}}\p{{Nd}}]der[^\p{{L}}\p{{Nd}}]'))"),
     "p20_session_spans": (lambda s, d: V.session_spans(messages(s, d)), f"SELECT session_id, min(ts) AS started, max(ts) AS updated, count(*) AS messages FROM {_MESSAGES} GROUP BY session_id"),
     "s30_role_scan": (lambda s, d: V.of_role(messages(s, d), metas(s, d), "system").select("session_id", "seq", "harness"), f"SELECT session_id, seq, harness FROM {_MESSAGES} JOIN {_META} USING (session_id) WHERE role = 'system'"),
