@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import language as L
@@ -14,6 +12,7 @@ from ..operators import mining as M
 from ..operators import search as S
 from ..operators import served as V
 from ..operators.lookups import allowed
+from ..sources.scratch import shared_dir
 from ..sources.tables import messages, table, usage
 from .cases import rows_sql
 from .queries import _MESSAGES, _TOKENS, _USAGE, TERMS, _bm25_sql
@@ -31,13 +30,8 @@ def metas(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("session_id"), F.col("lang").alias("harness"), F.col("source").alias("project"), F.when(F.col("doc_id") % 7 == 0, "box").alias("machine"), F.left("text", F.lit(60)).alias("title"), day.alias("updated"))
 
 
-def _scratch(s) -> str:
-    """A new folder for a table that is written once and read again, shared by all machines of a cluster."""
-    return f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or s.conf.get('spark.sql.warehouse.dir')}/palaver-{uuid.uuid4().hex}"
-
-
 def _lookup(s, d):
-    path = _scratch(s)
+    path = shared_dir(s)
     R.write_postings(messages(s, d), path)
     return R.read_postings(s, path, ["the", "und", "2024-01"])
 
