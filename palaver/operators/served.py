@@ -401,3 +401,39 @@ def auto_recall(ranked: DataFrame, words: DataFrame, most: int = 3, least: int =
     like = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) >= alike
     kept = F.aggregate("rows", F.array().cast(kind), lambda acc, r: F.when((F.size(acc) < most) & ~F.exists(acc, lambda k: like(k["w"], r["w"])), F.concat(acc, F.array(r))).otherwise(acc))
     return rows.select(F.explode(kept).alias("r")).select("r.session_id", "r.place")
+
+
+def log_tail(events: DataFrame, n: int = 20) -> DataFrame:
+    """The last so many events of the usage log, newest first."""
+    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+
+
+def brief(events: DataFrame, now: Column) -> DataFrame:
+    """What the log says of the day: active sessions, events and bytes of each kind."""
+    return events.where(F.to_date("ts") == F.to_date(now)).groupBy("kind").agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("n"), F.round(F.sum("bytes"), 4).alias("bytes"))
+
+
+def to_fetch(rows: DataFrame, marks: DataFrame, source: str, order: str, key: str) -> DataFrame:
+    """Rows of each source after the last one that was read, by time and id; all of sources never read. marks: source, mark, mark_id."""
+    later = F.col("mark").isNull() | (F.col(order) > F.col("mark")) | ((F.col(order) == F.col("mark")) & (F.col(key) > F.col("mark_id")))
+    return rows.join(F.broadcast(marks), source, "left").where(later).select(rows.columns)
+
+
+def rewritten_notes(notes: DataFrame, gone: DataFrame, titles: DataFrame) -> DataFrame:
+    """The log of notes without forgotten ones, with titles put back where they are known. gone: key; titles: key, title."""
+    return notes.join(gone, "key", "left_anti").join(titles, "key", "left")
+
+
+def weighted_hits(messages: DataFrame, terms: list[str], sessions: int) -> DataFrame:
+    """Of each session the message that holds most of the terms, rare ones counting more: 0.2 + ln((n + 1) / (df + 1))."""
+    has = lambda t: F.contains(F.lower("text"), F.lit(t))
+    rows = messages.select("session_id", "seq", *(has(t).alias(f"h{i}") for i, t in enumerate(terms)))
+    df = rows.agg(*(F.countDistinct(F.when(F.col(f"h{i}"), F.col("session_id"))).alias(f"d{i}") for i in range(len(terms))))
+    weight = sum((F.when(F.col(f"h{i}"), 0.2 + F.log((F.lit(sessions) + 1) / (F.col(f"d{i}") + 1))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
+    own = rows.crossJoin(F.broadcast(df)).withColumn("weight", F.round(weight, 6)).where("weight > 0")
+    return own.groupBy("session_id").agg(F.max(F.struct("weight", -F.col("seq"))).alias("b")).select("session_id", (-F.col("b.col2")).alias("seq"), F.col("b.weight").alias("weight"))
+
+
+def file_history(touched: DataFrame, path: str, least: int = 5) -> DataFrame:
+    """How many sessions touched a file, if so many did."""
+    return touched.where(path_matches(F.col("path"), path)).agg(F.countDistinct("session_id").alias("sessions")).where(F.col("sessions") >= least)

@@ -185,4 +185,12 @@ ALL = {
     "x14_merged_fixes": (lambda s, d: V.merged_fixes(s.createDataFrame([(1, "e", "c", 1), (2, "e", "d", 2), (3, "f", "c", 3)], "session_id long, error string, command string, ts long"), s.createDataFrame([(2, "e", "x", 9)], "session_id long, error string, command string, ts long"), s.createDataFrame([(3,)], "session_id long")), rows_sql(["error", "command", "ts"], [("e", "c", 1), ("e", "x", 9)])),
     "x15_rebucketed": (lambda s, d: V.rebucketed(usage(s, d).select(F.col("kind").alias("project"), F.col("ts").cast("timestamp").alias("ts")), "Asia/Tokyo"), f"SELECT kind AS project, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, count(*) AS notes FROM {_USAGE} GROUP BY ALL"),
     "u06_merged_counts": (lambda s, d: V.merged_counts(*(_touches(s, d).where(f"session_id % 2 = {k} or path like '%1'").groupBy("session_id", "path").agg(F.count("*").alias("n")) for k in (0, 1)), "session_id", "path"), f"SELECT * FROM (SELECT session_id, path, (count(*) * CASE WHEN path LIKE '%1' THEN 2 ELSE 1 END)::BIGINT AS n, row_number() OVER (PARTITION BY session_id ORDER BY count(*) * CASE WHEN path LIKE '%1' THEN 2 ELSE 1 END DESC, path) AS place FROM {_TOUCHES} GROUP BY session_id, path) WHERE place <= 6"),
+    "a39_log_tail": (lambda s, d: V.log_tail(usage(s, d)).select("event_id", "kind"), f"SELECT event_id, kind FROM {_USAGE} ORDER BY ts DESC, event_id DESC LIMIT 20"),
+    "a35_brief": (lambda s, d: V.brief(usage(s, d), F.lit("2024-01-20 10:00:00").cast("timestamp")), f"SELECT kind, count(DISTINCT session_id) AS sessions, count(*) AS n, round(sum(bytes), 4) AS bytes FROM {_USAGE} WHERE ts::DATE = DATE '2024-01-20' GROUP BY kind"),
+    "x21_to_fetch": (lambda s, d: V.to_fetch(usage(s, d).select("event_id", F.col("kind").alias("source"), F.to_date("ts").alias("day")), s.createDataFrame([("error", "2024-01-20", 500), ("click", "2024-01-29", 1)], "source string, mark string, mark_id long").withColumn("mark", F.col("mark").cast("date")), "source", "day", "event_id").select("event_id"), f"SELECT event_id FROM (SELECT *, ts::DATE AS day FROM {_USAGE}) LEFT JOIN (VALUES ('error', DATE '2024-01-20', 500), ('click', DATE '2024-01-29', 1)) m(kind, mark, mark_id) USING (kind) WHERE mark IS NULL OR day > mark OR (day = mark AND event_id > mark_id)"),
+    "x22_rewritten_notes": (lambda s, d: V.rewritten_notes(_notes(s, d), s.createDataFrame([(1,), (2,)], "key long"), s.createDataFrame([(4, "T")], "key long, title string")).where("key < 10").select("key", "seq", "title"), f"SELECT key, seq, CASE WHEN key = 4 THEN 'T' END AS title FROM {_NOTES} WHERE key NOT IN (1, 2) AND key < 10"),
+    "r19_weighted_hits": (lambda s, d: V.weighted_hits(messages(s, d), ["the", "onand", "erst"], 100), f"""WITH m AS (SELECT session_id, seq, contains(lower(text), 'the') AS a, contains(lower(text), 'onand') AS b, contains(lower(text), 'erst') AS c FROM {_MESSAGES}), d AS (SELECT count(DISTINCT session_id) FILTER (a) AS x, count(DISTINCT session_id) FILTER (b) AS y, count(DISTINCT session_id) FILTER (c) AS z FROM m),
+        w AS (SELECT session_id, seq, round(CASE WHEN a THEN 0.2 + ln(101 / (x + 1)) ELSE 0 END + CASE WHEN b THEN 0.2 + ln(101 / (y + 1)) ELSE 0 END + CASE WHEN c THEN 0.2 + ln(101 / (z + 1)) ELSE 0 END, 6) AS weight FROM m, d)
+        SELECT session_id, seq, weight FROM w WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY weight DESC, seq) = 1"""),
+    "d09_file_history": (lambda s, d: V.file_history(_touches(s, d), "w/p1"), f"SELECT count(DISTINCT session_id) AS sessions FROM {_TOUCHES} WHERE path = '/w/p1' HAVING sessions >= 5"),
 }
