@@ -58,22 +58,22 @@ _CLAUDE = [
 ]
 _SIDE = [{"type": "user", "sessionId": "main", "isSidechain": True, "agentId": "agent7", "timestamp": "2026-03-01T10:00:00Z", "message": {"content": "dig"}}]
 _CODEX = [
-    {"timestamp": "2026-01-02T03:04:05Z", "type": "session_meta", "payload": {"session_id": "cx", "cwd": "/tmp/demo"}},
-    {"timestamp": "2026-01-02T03:04:06Z", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [_text("hello", "input_text")]}},
-    {"timestamp": "2026-01-02T03:04:06Z", "type": "response_item", "payload": {"type": "message", "role": "developer", "content": [_text("rules")]}},
-    {"timestamp": "2026-01-02T03:04:07Z", "type": "response_item", "payload": {"type": "function_call", "name": "exec_command", "call_id": "c1", "arguments": json.dumps({"cmd": "npm test"})}},
-    {"timestamp": "2026-01-02T03:04:08Z", "type": "response_item", "payload": {"type": "function_call_output", "call_id": "c1", "output": "Process exited with code 2\nOutput:\n1 failing\n"}},
-    {"timestamp": "2026-01-02T03:04:09Z", "type": "response_item", "payload": {"type": "custom_tool_call", "name": "apply_patch", "input": "*** Begin Patch\n*** Update File: src/a.py\n@@\n-old line\n+new line\n*** Add File: /abs/b.py\n+x\n*** End Patch"}},
-    {"timestamp": "2026-01-02T03:04:10Z", "type": "event_msg", "payload": {"type": "agent_message", "message": "repeated"}},
-    {"timestamp": "2026-01-02T03:04:11Z", "type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [_text("fixed", "output_text")]}},
+    {"timestamp": "2026-04-09T07:14:05Z", "type": "session_meta", "payload": {"session_id": "cx", "cwd": "/tmp/trial"}},
+    {"timestamp": "2026-04-09T07:14:06Z", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [_text("hello", "input_text")]}},
+    {"timestamp": "2026-04-09T07:14:06Z", "type": "response_item", "payload": {"type": "message", "role": "developer", "content": [_text("rules")]}},
+    {"timestamp": "2026-04-09T07:14:07Z", "type": "response_item", "payload": {"type": "function_call", "name": "exec_command", "call_id": "c1", "arguments": json.dumps({"cmd": "npm test"})}},
+    {"timestamp": "2026-04-09T07:14:08Z", "type": "response_item", "payload": {"type": "function_call_output", "call_id": "c1", "output": "Process exited with code 2\nOutput:\n1 failing\n"}},
+    {"timestamp": "2026-04-09T07:14:09Z", "type": "response_item", "payload": {"type": "custom_tool_call", "name": "apply_patch", "input": "*** Begin Patch\n*** Update File: src/a.py\n@@\n-old line\n+new line\n*** Add File: /abs/b.py\n+x\n*** End Patch"}},
+    {"timestamp": "2026-04-09T07:14:10Z", "type": "event_msg", "payload": {"type": "agent_message", "message": "repeated"}},
+    {"timestamp": "2026-04-09T07:14:11Z", "type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [_text("fixed", "output_text")]}},
 ]
 _GEMINI = [
-    {"sessionId": "g1", "startTime": "2026-07-17T09:00:00Z"},
-    {"id": "m0", "timestamp": "2026-07-17T09:00:01Z", "type": "user", "content": "dropped by the set"},
-    {"$set": {"messages": [{"id": "m1", "timestamp": "2026-07-17T09:00:02Z", "type": "user", "content": [{"text": "kept"}]}, {"id": "m2", "timestamp": "2026-07-17T09:00:03Z", "type": "gemini", "content": "first answer"}]}},
+    {"sessionId": "g1", "startTime": "2026-04-17T08:20:00Z"},
+    {"id": "m0", "timestamp": "2026-04-17T08:20:01Z", "type": "user", "content": "dropped by the set"},
+    {"$set": {"messages": [{"id": "m1", "timestamp": "2026-04-17T08:20:02Z", "type": "user", "content": [{"text": "kept"}]}, {"id": "m2", "timestamp": "2026-04-17T08:20:03Z", "type": "gemini", "content": "first answer"}]}},
     {"$rewindTo": "m2"},
-    {"id": "m3", "timestamp": "2026-07-17T09:00:04Z", "type": "gemini", "content": [{"text": "second answer"}]},
-    {"id": "m4", "timestamp": "2026-07-17T09:00:05Z", "type": "info", "content": "no speech"},
+    {"id": "m3", "timestamp": "2026-04-17T08:20:04Z", "type": "gemini", "content": [{"text": "second answer"}]},
+    {"id": "m4", "timestamp": "2026-04-17T08:20:05Z", "type": "info", "content": "no speech"},
 ]
 _GROK = [
     {"timestamp": 1772359200, "params": {"update": {"sessionUpdate": "user_message_chunk", "content": _text("why"), "_meta": {"promptIndex": 0}}}},
@@ -89,12 +89,12 @@ _KIMI = [
     *({"type": "context.append_loop_event", "event": e, "time": 1772359202000 + 1000 * i} for i, e in enumerate([{"type": "step.begin"}, {"type": "content.part", "part": {"type": "think", "text": "hm"}}, {"type": "content.part", "part": _text("it is ")}, {"type": "content.part", "part": _text("stale")}, {"type": "tool.call", "name": "Shell", "args": {"command": "make test"}}, {"type": "tool.result", "result": {"output": " ok "}}, {"type": "content.part", "part": _text("done")}, {"type": "step.end"}])),
 ]
 _COPILOT = [
-    {"type": "session.start", "timestamp": "2026-07-20T05:13:54Z", "data": {"sessionId": "cp", "context": {"cwd": "/Users/x/coding/gateway"}}},
-    {"type": "user.message", "timestamp": "2026-07-20T05:13:58Z", "data": {"content": "why"}},
-    {"type": "tool.execution_start", "timestamp": "2026-07-20T05:13:59Z", "data": {"toolName": "bash", "arguments": {"command": "cargo build"}}},
-    {"type": "tool.execution_complete", "timestamp": "2026-07-20T05:14:00Z", "data": {"result": {"content": "built"}}},
-    {"type": "assistant.message", "timestamp": "2026-07-20T05:14:01Z", "data": {"content": "so"}},
-    {"type": "session.shutdown", "timestamp": "2026-07-20T05:14:02Z", "data": {}},
+    {"type": "session.start", "timestamp": "2026-05-11T06:31:54Z", "data": {"sessionId": "cp", "context": {"cwd": "/home/me/code/gate"}}},
+    {"type": "user.message", "timestamp": "2026-05-11T06:31:58Z", "data": {"content": "why"}},
+    {"type": "tool.execution_start", "timestamp": "2026-05-11T06:31:59Z", "data": {"toolName": "bash", "arguments": {"command": "cargo build"}}},
+    {"type": "tool.execution_complete", "timestamp": "2026-05-11T06:32:00Z", "data": {"result": {"content": "built"}}},
+    {"type": "assistant.message", "timestamp": "2026-05-11T06:32:01Z", "data": {"content": "so"}},
+    {"type": "session.shutdown", "timestamp": "2026-05-11T06:32:02Z", "data": {}},
 ]
 _DEEPSEEK = [
     {"type": "session", "id": "session-d1", "createdAt": 1772359200000, "cwd": "/work/lab"},
@@ -166,30 +166,30 @@ ALL = {
     ]),
     "s03_sidechain": (lambda s, d: A.claude(_lines(s, "/c/projects/p/x.jsonl", _SIDE)).select("session_id", "parent", "text"), rows_sql(["session_id", "parent", "text"], [("agent7", "main", "dig")])),
     "s04_codex": read(A.codex, "/x/rollout-2026.jsonl", _CODEX, [
-        ("cx", "demo", 0, "user", "hello", "01-02 03:04:06"), ("cx", "demo", 1, "command", "$ npm test  → exit 2", "01-02 03:04:07"), ("cx", "demo", 2, "tool-output", "1 failing", "01-02 03:04:08"),
-        ("cx", "demo", 3, "files", "/tmp/demo/src/a.py\n/abs/b.py", "01-02 03:04:09"), ("cx", "demo", 4, "edit", "/tmp/demo/src/a.py\nold line", "01-02 03:04:09"), ("cx", "demo", 5, "assistant", "fixed", "01-02 03:04:11"),
+        ("cx", "trial", 0, "user", "hello", "04-09 07:14:06"), ("cx", "trial", 1, "command", "$ npm test  → exit 2", "04-09 07:14:07"), ("cx", "trial", 2, "tool-output", "1 failing", "04-09 07:14:08"),
+        ("cx", "trial", 3, "files", "/tmp/trial/src/a.py\n/abs/b.py", "04-09 07:14:09"), ("cx", "trial", 4, "edit", "/tmp/trial/src/a.py\nold line", "04-09 07:14:09"), ("cx", "trial", 5, "assistant", "fixed", "04-09 07:14:11"),
     ]),
-    "s04_codex_events": read(A.codex, "/x/rollout-1.jsonl", [_CODEX[0], _CODEX[6]], [("cx", "demo", 0, "assistant", "repeated", "01-02 03:04:10")]),
+    "s04_codex_events": read(A.codex, "/x/rollout-1.jsonl", [_CODEX[0], _CODEX[6]], [("cx", "trial", 0, "assistant", "repeated", "04-09 07:14:10")]),
     "s04_history": read(A.codex_history, "/x/history.jsonl", [{"session_id": "a", "ts": 1772359200, "text": "one"}, {"session_id": "b", "ts": 1772359201, "text": "two"}, {"session_id": "a", "ts": 1772359202, "text": "three"}, {"session_id": "", "text": "x"}], [("a", "history", 0, "user", "one", "03-01 10:00:00"), ("b", "history", 0, "user", "two", "03-01 10:00:01"), ("a", "history", 1, "user", "three", "03-01 10:00:02")]),
     "s05_opencode": store(A.opencode, "/oc.db", _OPENCODE, [("oc", "app", 0, "user", "hi", "03-01 10:00:00"), ("oc", "app", 1, "command", "$ npm test  → exit 1", "03-01 10:00:01"), ("oc", "app", 2, "tool-output", "bad", "03-01 10:00:01"), ("oc", "app", 3, "files", "/w/a.ts", "03-01 10:00:01"), ("oc", "app", 4, "edit", "/w/a.ts\nx = 1", "03-01 10:00:01"), ("oc", "app", 5, "assistant", "done", "03-01 10:00:01")]),
     "s06_aider": read(A.aider, "/w/app/.aider.chat.history.md", _AIDER, [
         ("/w/app/.aider.chat.history.md#20260301-100000", "app", 0, "user", "add a test\nplease", "03-01 10:00:00"), ("/w/app/.aider.chat.history.md#20260301-100000", "app", 1, "assistant", "Sure.\n```\n# aider chat started at 2020-01-01 00:00:00\ncode\n```", "03-01 10:00:00"),
         ("/w/app/.aider.chat.history.md#20260302-110000", "app", 0, "user", "again", "03-02 11:00:00"), ("/w/app/.aider.chat.history.md#20260302-110000", "app", 1, "assistant", "Done.", "03-02 11:00:00"),
     ]),
-    "s07_gemini": read(A.gemini, "/g/gemini/s.jsonl", _GEMINI, [("g1", "-", 0, "user", "kept", "07-17 09:00:02"), ("g1", "-", 1, "assistant", "second answer", "07-17 09:00:04")]),
+    "s07_gemini": read(A.gemini, "/g/gemini/s.jsonl", _GEMINI, [("g1", "-", 0, "user", "kept", "04-17 08:20:02"), ("g1", "-", 1, "assistant", "second answer", "04-17 08:20:04")]),
     "s08_cursor_store": store(A.cursor_store, "/state.vscdb", _CURSOR_DB, [("c1", "-", 0, "user", "question", "03-01 10:00:00"), ("c1", "-", 1, "assistant", "answer", "03-01 10:00:05")]),
     "s08_cursor_transcript": read(A.cursor_transcript, "/p/agent-transcripts/cur.jsonl", [{"role": "user", "message": {"content": [_text("q")]}}, {"role": "assistant", "message": {"content": [_text("a")]}}, {"type": "turn_ended"}], [("cur", "-", 0, "user", "q", None), ("cur", "-", 1, "assistant", "a", None)]),
     "s09_antigravity": read(A.antigravity, "/r/brain/ag1/.system_generated/logs/transcript.jsonl", _ANTIGRAVITY, [("ag1", "-", 0, "user", "fix it", "03-01 10:00:00"), ("ag1", "-", 1, "assistant", "a plan", "03-01 10:00:02"), ("ag1", "-", 2, "command", "$ go test ./x", "03-01 10:00:03"), ("ag1", "-", 3, "tool-output", "Task Description: go test ./x\nok", "03-01 10:00:03")]),
     "s10_grok": read(A.grok, "/r/gk/updates.jsonl", _GROK, [("updates", "-", 0, "user", "why", "03-01 10:00:00"), ("updates", "-", 1, "assistant", "because of it", "03-01 10:00:01"), ("updates", "-", 2, "tool-output", "read: read a", "03-01 10:00:02"), ("updates", "-", 3, "assistant", "alone", "03-01 10:00:04"), ("updates", "-", 4, "assistant", "alone too", "03-01 10:00:05")]),
     "s11_hermes": store(A.hermes, "/h/profiles/architect/hermes.db", _HERMES, [("h1", "architect", 0, "user", "hi", "03-01 10:00:00"), ("h1", "architect", 1, "assistant", "hello", "03-01 10:00:01")]),
-    "s12_goose": read(A.goose, "/g/goose/20250724_1.jsonl", [{"description": " A title ", "id": "g9", "working_dir": "/w/demo"}, {"id": "m", "role": "user", "created": 1772359200, "content": [_text("say")]}, {"role": "tool", "content": "x"}, {"role": "assistant", "created": 1772359201, "content": [_text("said")]}], [("g9", "demo", 0, "user", "say", "03-01 10:00:00"), ("g9", "demo", 1, "assistant", "said", "03-01 10:00:01")]),
+    "s12_goose": read(A.goose, "/g/goose/long_1.jsonl", [{"description": " A title ", "id": "g9", "working_dir": "/w/demo"}, {"id": "m", "role": "user", "created": 1772359200, "content": [_text("say")]}, {"role": "tool", "content": "x"}, {"role": "assistant", "created": 1772359201, "content": [_text("said")]}], [("g9", "demo", 0, "user", "say", "03-01 10:00:00"), ("g9", "demo", 1, "assistant", "said", "03-01 10:00:01")]),
     "s12_goose_store": store(A.goose_store, "/s.db", _GOOSE_DB, [("gs", "demo", 0, "user", "say", "03-01 10:00:00"), ("gs", "demo", 1, "assistant", "said", "03-01 10:00:01")]),
     "s13_qwen": read(A.qwen, "/q/projects/-w-app/chats/q.jsonl", [{"type": "user", "sessionId": "q1", "timestamp": "2026-03-01T10:00:00Z", "message": {"role": "user", "parts": [{"text": "a"}, {"text": "b"}]}}, {"type": "assistant", "sessionId": "q1", "timestamp": "2026-03-01T10:00:01Z", "message": {"role": "model", "parts": [{"text": "c"}]}}, {"type": "system"}], [("q1", "w/app", 0, "user", "a\nb", "03-01 10:00:00"), ("q1", "w/app", 1, "assistant", "c", "03-01 10:00:01")]),
     "s14_kimi": read(A.kimi, "/k/sess1/agents/main/wire.jsonl", _KIMI, [("sess1", "-", 0, "user", "why?", "03-01 10:00:01"), ("sess1", "-", 1, "assistant", "it is stale", "03-01 10:00:04"), ("sess1", "-", 2, "command", "$ make test", "03-01 10:00:06"), ("sess1", "-", 3, "tool-output", "ok", "03-01 10:00:07"), ("sess1", "-", 4, "assistant", "done", "03-01 10:00:08")]),
     "s15_cline": whole(A.cline, "/c/sx/sx.messages.json", {"agent": "lead", "sessionId": "cl", "messages": [{"role": "user", "content": [_text("Say")], "ts": 1772359200000}, {"role": "assistant", "content": [_text("Said"), _text("hidden", "thinking")], "ts": 1772359201000}]}, [("cl", "-", 0, "user", "Say", "03-01 10:00:00"), ("cl", "-", 1, "assistant", "Said", "03-01 10:00:01")]),
     "s16_roo": whole(A.cline, "/r/tasks/177/api_conversation_history.json", [{"role": "user", "content": [_text("<task>\nFix it\n</task>")]}, {"role": "assistant", "content": "Fixed."}], [("177", "-", 0, "user", "Fix it", None), ("177", "-", 1, "assistant", "Fixed.", None)]),
     "s17_pi": read(A.pi, "/pi/x.jsonl", [{"type": "session", "id": "pi1", "timestamp": "2026-03-01T10:00:00Z", "cwd": "/w/demo", "title": "T"}, {"type": "message", "timestamp": "2026-03-01T10:00:05Z", "message": {"role": "user", "content": [_text("q")], "timestamp": 1772359205000}}, {"type": "message", "timestamp": "2026-03-01T10:00:06Z", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "x"}, _text("a")]}}], [("pi1", "demo", 0, "user", "q", "03-01 10:00:05"), ("pi1", "demo", 1, "assistant", "a", "03-01 10:00:06")]),
-    "s18_copilot": read(A.copilot, "/c/x/events.jsonl", _COPILOT, [("cp", "coding/gateway", 0, "user", "why", "07-20 05:13:58"), ("cp", "coding/gateway", 1, "command", "$ cargo build", "07-20 05:13:59"), ("cp", "coding/gateway", 2, "tool-output", "built", "07-20 05:14:00"), ("cp", "coding/gateway", 3, "assistant", "so", "07-20 05:14:01")]),
+    "s18_copilot": read(A.copilot, "/c/x/events.jsonl", _COPILOT, [("cp", "code/gate", 0, "user", "why", "05-11 06:31:58"), ("cp", "code/gate", 1, "command", "$ cargo build", "05-11 06:31:59"), ("cp", "code/gate", 2, "tool-output", "built", "05-11 06:32:00"), ("cp", "code/gate", 3, "assistant", "so", "05-11 06:32:01")]),
     "s19_deepseek": read(A.deepseek, "/d/session.jsonl", _DEEPSEEK, [("d1", "lab", 0, "user", "how many", "03-01 10:00:01"), ("d1", "lab", 1, "assistant", "let me check it", "03-01 10:00:03"), ("d1", "lab", 2, "assistant", "ten", "03-01 10:00:06")]),
     "s20_zed": store(A.zed, "/z.db", _ZED_DB, [("z1", "-", 0, "user", "ask", "03-01 10:00:00"), ("z1", "-", 1, "assistant", "tell", "03-01 10:00:00")]),
     "s20_zed_packed": (_zstd, rows_sql(_NAMES, [("z2", "-", 0, "user", "packed", "03-01 10:00:00")])),

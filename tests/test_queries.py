@@ -29,13 +29,13 @@ def test_entry_imports_without_training_operators(monkeypatch):
 
 def test_transcripts_skip_malformed_lines(spark):
     lines = [
-        json.dumps({"type": "user", "sessionId": "s", "timestamp": "2026-01-02T03:04:05Z", "message": {"role": "user", "content": "plain"}}),
-        json.dumps({"type": "assistant", "sessionId": "s", "timestamp": "2026-01-02T03:04:06Z", "message": {"content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": "b"}]}}),
+        json.dumps({"type": "user", "sessionId": "s", "timestamp": "2026-04-09T07:14:25Z", "message": {"role": "user", "content": "plain words"}}),
+        json.dumps({"type": "assistant", "sessionId": "s", "timestamp": "2026-04-09T07:14:26Z", "message": {"content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": "b"}]}}),
         "{broken",
     ]
     df = spark.createDataFrame([(v, "p", i) for i, v in enumerate(lines)], "value string, path string, n long")
     got = parsed(df, "message_blocks").orderBy("seq").collect()
-    assert [(r.session_id, r.role, r.text, r.malformed) for r in got] == [("s", "user", "plain", False), ("s", "assistant", "a\nb", False), ("p", None, None, True)]
+    assert [(r.session_id, r.role, r.text, r.malformed) for r in got] == [("s", "user", "plain words", False), ("s", "assistant", "a\nb", False), ("p", None, None, True)]
 
 
 def test_one_edit_counts_characters_and_swaps(spark):
