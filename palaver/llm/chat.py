@@ -6,7 +6,8 @@ occurring inside a role or text get a backslash after their first character, and
 and taking the escapes out gives the text back exactly. A turn is a row, so a conversation of any length streams through.
 
 Defined results: turns are ordered by number, ties by role and text; null roles and texts are empty; rows without a
-conversation form one; repeated rows are turns of their own; an empty table gives an empty one.
+conversation form one; repeated rows are turns of their own; a very long turn is one turn; other columns aren't
+read; an empty table gives an empty one.
 """
 
 from __future__ import annotations

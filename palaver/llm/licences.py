@@ -12,7 +12,8 @@ also the general one.
 
 Defined results: null and empty texts have no paragraphs and no licence; a paragraph that grants several families counts once
 for each among the licence paragraphs; rows that repeat an id are scanned together, as one document; rows without an id are
-one document; an empty table gives an empty one.
+one document; of families of equal probability the first by name counts; a very long text is scanned whole; other columns
+aren't read; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Sets are compared by 128 bits of hash, shingles by 64.
 
 Defined results: a text without words has an empty set and is linked with nothing; one of fewer than five words has its
 whole sequence as its only shingle; rows that repeat an id are one node; a row without an id is linked with nothing, has no
-component and is kept; an empty table gives an empty one.
+component and is kept; a very long text is one document, whole; other columns aren't read, or pass through ``deduplicated``
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ The level of that sharing has a closed form: with sources in the order of (cap /
 before i are full, divided by the weights from i on; the highest of these levels is the one at which none is above its cap.
 
 Defined results: a null text has size 0 and is emitted as its source's rate says; null is a source of its own, the last;
-a source without words has target 0 and isn't emitted; repeated rows are emitted alike; an empty table gives an empty one.
+a source without words has target 0 and isn't emitted; repeated rows, and rows that share an id and a
+source, are emitted alike; of equal fill levels the smaller name comes first; a very long text is counted whole; other columns
+pass through ``mix`` whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ are made over counts. Only then does each piece, wherever it is, look up its pla
 of equal length. Pieces are as good as best-fit decreasing places them, since that can't tell equal lengths apart either.
 
 Defined results: a null or empty text is the end id alone; a text longer than the capacity is cut into full pieces and a
-last one; repeated rows are packed each; an empty table gives an empty one.
+last one; repeated rows are packed each; pieces of equal length are ranked by id, piece and
+place; other columns aren't read; an empty table gives an empty one.
 """
 
 from __future__ import annotations

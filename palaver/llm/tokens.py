@@ -1,7 +1,8 @@
 """Token counts of whole texts by rank-synchronous merging (see ``bpe``).
 
 Defined results: a null or empty text has no tokens; special strings inside a text count as the one token they stand for;
-repeated rows count alike; an empty table gives an empty one.
+repeated rows count alike, each on its own, so there are no ties; a very long text is counted whole; other columns aren't read;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
