@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, extraction, licences, minhash, mixing, neighbours, packing, passages, quality, tokens
+from . import chat, extraction, licences, minhash, mixing, negatives, neighbours, packing, passages, quality, runs, tokens, urls
 from .common import read
 
 
@@ -51,7 +54,41 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_best_fit_packing, op3_chat_formatting, op4_vector_neighbours, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts, op9_repeated_passages, op10_license_scan)}
+def made_periodic(doc_id: int | None, text: bytes) -> bytes:
+    """The text of one of ten ids with a period from some word on, as the query asks; a row without an id stays as it is."""
+    h = zlib.crc32(b"%d" % doc_id) if doc_id is not None else 1
+    words = text.split() if h % 10 == 0 else []
+    if not words:
+        return text
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.found(read(spark, sf_dir, "documents"), rewritten=made_periodic))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(read(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_best_fit_packing, op3_chat_formatting, op4_vector_neighbours, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_token_counts, op9_repeated_passages, op10_license_scan, op11_periodic_runs, op12_hard_negatives, op13_url_filters)}
+
+
+
+def _spread_sql() -> str:
+    """The rounds of trust and distrust, one after another."""
+    first = ", r0 AS MATERIALIZED (SELECT host, true AS forward, trust AS mass FROM seed WHERE trust > 0 UNION ALL SELECT host, false, distrust FROM seed WHERE distrust > 0)"
+    step = ", r{} AS MATERIALIZED (SELECT b AS host, forward, sum(mass * 85 // (100 * ways))::BIGINT AS mass FROM r{} r JOIN way w USING (forward) WHERE w.a = r.host AND mass * 85 // (100 * ways) > 0 GROUP BY ALL)"
+    return first + "".join(step.format(i + 1, i) for i in range(urls.ROUNDS))
+
 
 _CONTROL = chat.CONTROL.replace("'", "''")
 SQL = {
@@ -65,6 +102,32 @@ SQL = {
                (3 + sum(8 + 8 + 7 + length(role) + length(text) + len(regexp_extract_all(role, '\\|{_CONTROL}'))
                         + len(regexp_extract_all(text, '\\|{_CONTROL}'))))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.r AS a, a.vec_id AS anchor_id, e.r, e.vec_id, a.label = e.label AS alike, list_inner_product(a.v, e.v)::BIGINT AS score FROM e a JOIN e ON a.r != e.r WHERE a.vec_id % 100 = 0),
+        p AS (SELECT a, anchor_id, r, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) <= 5)
+        SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.a, p.r ORDER BY s.score DESC, s.vec_id, s.r)::INTEGER AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.a, p.r ORDER BY s.score DESC, s.vec_id, s.r) <= 10""",
+    "op13_url_filters": rf"""
+        WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+        f AS (SELECT *, '.' || host AS h, CASE WHEN h LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN h LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+                     WHEN h LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/' WHEN h LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/' WHEN h LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM u),
+        g AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM f),
+        seed AS (SELECT host, 1000000 * count(*) FILTER (ruled = 'allow') AS trust, 1000000 * count(*) FILTER (ruled = 'block') AS distrust FROM g WHERE host != '' GROUP BY host),
+        up AS (SELECT s.host AS a, max_by(t.host, length(t.host)) AS b FROM seed s JOIN seed t ON s.host LIKE '%.' || t.host AND t.host LIKE '%.%' GROUP BY 1),
+        link AS (SELECT host AS a, translate(unnest(regexp_extract_all(html, '{urls.LINK.replace("'", "''")}', 1)), '{urls.UPPER}', '{urls.LOWER}') AS b FROM g WHERE host != ''
+                 UNION ALL SELECT a, b FROM up UNION ALL SELECT b, a FROM up),
+        edge AS (SELECT DISTINCT a, b FROM link WHERE a != b), both_ AS (SELECT true AS forward, a, b FROM edge UNION ALL SELECT false, b, a FROM edge),
+        way AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY forward, a) AS ways FROM both_)
+        {_spread_sql()},
+        total AS (SELECT host, coalesce(sum(mass) FILTER (forward), 0)::BIGINT AS trust, coalesce(sum(mass) FILTER (NOT forward), 0)::BIGINT AS distrust
+                  FROM ({' UNION ALL '.join(f'SELECT * FROM r{i}' for i in range(urls.ROUNDS + 1))}) GROUP BY host)
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
+        FROM g LEFT JOIN total USING (host)""",
     "op5_quality_rules": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         m AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
