@@ -1,6 +1,6 @@
 """Plans of Palaver."""
 
-from . import archive, cases, queries, reports, served, transcripts
+from . import archive, cases, planner, queries, reports, served, transcripts
 
 #: Every query by name, with its SQL.
-ALL = queries.ALL | archive.ALL | reports.ALL | cases.ALL | transcripts.ALL | served.ALL
+ALL = queries.ALL | archive.ALL | reports.ALL | cases.ALL | transcripts.ALL | served.ALL | planner.ALL

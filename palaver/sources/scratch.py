@@ -5,7 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, read from a table in the shared folder: what follows doesn't compute them again."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not base:
             alone = spark.sparkContext.master.split("[")[0] == "local"
             base = "file://" + tempfile.mkdtemp(prefix="palaver-") if alone else spark.conf.get("spark.sql.warehouse.dir")
+            if not alone and base.startswith(("file:", "/")):
+                raise ValueError("scratch tables need a folder that all machines share: set spark.checkpoint.dir")
         base = f"{base}/palaver-{uuid.uuid4().hex}"
         spark.conf.set("spark.palaver.scratch", base)
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
