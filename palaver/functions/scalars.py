@@ -164,13 +164,9 @@ def osa(a: Column, b: Column) -> Column:
 def covering_window(text: Column, terms: list[str]) -> Column:
     """The bytes from the first to the last of the closest places at which a text holds all terms; 0 if it doesn't.
 
-    Where the terms' first places are already within 200 bytes that span counts. Other texts go to a helper in Python.
+    Where the terms' first places are already within 200 bytes that span counts. Other texts are cut where a term begins, and
+    one fold over the pieces keeps where each term comes next and the least window so far: all places count, overlapping ones too.
     """
-
-    @F.pandas_udf("int")
-    def closest(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _closest(t.encode(), [x.encode() for x in terms]), na_action="ignore").astype("Int32")
-
     if len(terms) < 2:
         return F.lit(0)
     low = F.lower(text)
@@ -179,25 +175,29 @@ def covering_window(text: Column, terms: list[str]) -> Column:
     every = F.lit(True)
     for t in terms:
         every = every & (F.instr(low, t) > 0)
-    return F.when(~every, 0).when(span <= 200, span).otherwise(closest(F.when(every & (span > 200), low)))
-
-
-def _closest(text: bytes, terms: list[bytes]) -> int:
-    """The least window over all places of all terms, in one pass over them in order."""
-    places = []
-    for k, t in enumerate(terms):
-        at = text.find(t)
-        while at >= 0:
-            places.append((at, k))
-            at = text.find(t, at + 1)
-    last: dict[int, int] = {}
-    best = 0
-    for at, k in sorted(places):
-        last[k] = at
-        if len(last) == len(terms):
-            span = at + len(terms[k]) - min(last.values())
-            best = min(best or span, span)
-    return best
+    far = F.when(every & (span > 200), low)
+    return F.when(~every, 0).when(span <= 200, span).otherwise(_closest(far, terms))
+
+
+def _closest(low: Column, terms: list[str]) -> Column:
+    """The least window over all places of all terms: for each place, from the last one back, up to where the others come next."""
+    pieces = F.reverse(F.split(low, "(?=" + "|".join(r"\Q" + t + r"\E" for t in terms) + ")"))
+    own = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t"), F.lit(len(t.encode())).alias("size")) for k, t in reversed(list(enumerate(terms)))))
+    longest = max(map(len, terms))
+    place = lambda d, k, size: F.struct(d.alias("d"), (-k).alias("k"), size.alias("size"))
+    state = lambda back, ahead, after, best: F.struct(back.alias("back"), ahead.alias("ahead"), after.alias("after"), best.alias("best"))
+    start = state(F.lit(0), F.lit(""), F.array_repeat(place(F.lit(-1), F.lit(0), F.lit(0)), len(terms)), F.lit(0))
+
+    def met(acc, t):
+        after = F.transform(acc["after"], lambda v, i: F.when(i == t["k"], place(acc["back"], t["k"], t["size"])).otherwise(v))
+        last = F.array_min(after)  # the nearest to the end; of terms that begin there the last one
+        span = acc["back"] - last["d"] + last["size"]
+        best = F.when((last["d"] >= 0) & ((acc["best"] == 0) | (span < acc["best"])), span).otherwise(acc["best"])
+        return F.when(acc["ahead"].startswith(t["t"]), state(acc["back"], acc["ahead"], after, best)).otherwise(acc)
+
+    # terms may begin within one another, so a piece is looked at with what comes after it
+    step = lambda acc, piece: F.aggregate(own, state(acc["back"] + F.octet_length(piece), F.left(F.concat(piece, acc["ahead"]), F.lit(longest)), acc["after"], acc["best"]), met)
+    return F.aggregate(pieces, start, step, lambda acc: acc["best"])
 
 
 def proximity(window: Column) -> Column:

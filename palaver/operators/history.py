@@ -27,6 +27,20 @@ def commands(runs: DataFrame, least: int = 2, most: int = 4000) -> DataFrame:
     return table.where(F.col("sessions") >= least).orderBy(F.desc("sessions"), "command").limit(most)
 
 
+def command_projects(runs: DataFrame, least: int = 2, most: int = 24) -> DataFrame:
+    """Command, runs, sessions, last and projects: of each command that several sessions ran, its use in the projects of most sessions, ties by name.
+
+    Use is counted by command, project and session, then by command and project: both are partial sums, so a command that
+    everyone runs is never one task's rows but the few of its projects.
+    """
+    own = runs.groupBy("command", "project", "session_id").agg(F.count("*").alias("runs"), F.max("ts").alias("last"))
+    each = own.groupBy("command", "project").agg(F.count("*").alias("sessions"), F.sum("runs").alias("runs"), F.max("last").alias("last"))
+    total = own.groupBy("command").agg(F.countDistinct("session_id").alias("sessions"), F.sum("runs").alias("runs"), F.max("last").alias("last")).where(F.col("sessions") >= least)
+    place = F.row_number().over(Window.partitionBy("command").orderBy(F.desc("sessions"), "project"))
+    first = each.withColumn("place", place).where(F.col("place") <= most).groupBy("command").agg(F.array_sort(F.collect_list(F.struct("place", "project", "sessions", "last"))).alias("projects"))
+    return total.join(first, "command").select("command", "runs", "sessions", "last", "projects")
+
+
 def how(runs: DataFrame, terms: list[str], longest: int = 200) -> DataFrame:
     """Commands that hold every term, whatever their case, with their use."""
     low = F.lower("command")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import covering_window
+from ..functions.text import tokens
+from ..operators.history import command_projects
 from ..operators.increments import Postings
+from ..operators.planner import Store
 from ..operators.recall import densest, plan_walls
 from ..sources.scratch import shared_dir
 from ..sources.tables import table
 from ..streaming.cooldown import run_to_end, shown
 from ..streaming.sync import RECORD, Outbox
 from .planner import _BASE, _STOP, _open, archive
+from .queries import _TOKENS
 
 
 def _updated(s, d):
@@ -57,6 +63,45 @@ def _walls(s, d):
     return plan_walls(steps, _open(s, d)[0], lines)
 
 
+def _projects(s, d):
+    """Orders' priorities as commands, customers as sessions, clerks' days as projects."""
+    return table(s, d, "orders").select(F.col("o_orderpriority").alias("command"), F.col("o_custkey").alias("session_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 31).cast("string")).alias("project"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+
+
+def _commands(s, d):
+    return command_projects(_projects(s, d)).select("command", "runs", "sessions", "last", F.array_join(F.transform("projects", lambda p: F.concat_ws(":", p["project"], p["sessions"], F.unix_seconds(p["last"]))), ",").alias("projects"))
+
+
+def evidence(items, texts, store: Store):
+    """item_id, evidence (texts that hold the item's passage), found_5, found_10 and first (place of the first of them, up to 10).
+
+    All tokens of a passage count by their rarity, no token is left out. items: item_id, passage; texts: session_id, text.
+    """
+    asked = items.select("item_id", F.explode(tokens(F.col("passage"))).alias("token")).join(store.catalog.select("token", "sessions"), "token")
+    asked = asked.withColumn("weight", F.log((store.sessions + 1) / F.col("sessions")))
+    held = store.posted(asked).select("token", "session_id").distinct()
+    ranked = asked.join(held, "token").groupBy("item_id", "session_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "session_id"))
+    top = ranked.withColumn("place", place).where(F.col("place") <= 10).select("item_id", "session_id", "place")
+    # who holds the passage holds its words; those at its ends may be parts of longer ones there
+    inner = items.select("item_id", F.slice(F.regexp_extract_all(F.lower("passage"), F.lit(r"[\p{L}\p{Nd}_-]+"), F.lit(0)), 2, 1 << 20).alias("w")).select("item_id", F.explode(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("token"))
+    rarest = inner.join(asked, ["item_id", "token"]).groupBy("item_id").agg(F.min(F.struct("sessions", "token"))["token"].alias("token"))
+    near = rarest.join(held, "token").join(items, "item_id").join(texts, "session_id").where(F.contains("text", F.col("passage"))).select("item_id", "session_id")
+    own = near.join(top, ["item_id", "session_id"], "left").groupBy("item_id").agg(F.count("*").alias("evidence"), F.count_if(F.col("place") <= 5).alias("found_5"), F.count("place").alias("found_10"), F.min("place").alias("first"))
+    return items.select("item_id").join(own, "item_id", "left").fillna(0, ["evidence", "found_5", "found_10"])
+
+
+def _evidence(s, d):
+    rows = evidence(table(s, d, "benchmark").select("item_id", F.col("text").alias("passage")), table(s, d, "documents").select(F.col("doc_id").alias("session_id"), "text"), _open(s, d)[0])
+    share = lambda n: F.round(F.avg(F.when(F.col("evidence") > 0, F.col(n) / F.col("evidence"))), 6)
+    return rows.agg(
+        F.count("*").alias("items"), F.count_if(F.col("evidence") > 0).alias("covered"), F.count_if(F.col("first") == 1).alias("hit_1"), F.count_if(F.col("first") <= 5).alias("hit_5"), F.count_if(F.col("first") <= 10).alias("hit_10"),
+        share("found_5").alias("evidence_5"), share("found_10").alias("evidence_10"), F.round(F.sum(F.coalesce(1 / F.col("first"), F.lit(0.0))) / F.count("*"), 6).alias("mrr"),
+        F.percentile("first", F.lit(0.5)).alias("first_p50"), F.percentile("first", F.lit(0.9)).alias("first_p90"), F.percentile("evidence", F.lit(0.9)).alias("evidence_p90"),
+    )
+
+
+_NEAR = ("the", "and", "erst")
 _DENSE = " + ".join(f"contains(lower(coalesce(text, '')), '{t}')::INT" for t in ("the", "und", "ción"))
 
 ALL = {
@@ -86,6 +131,28 @@ ALL = {
         SELECT step_id, line, sessions, carriers FROM (SELECT step_id, line, count(*) AS carriers FROM c JOIN w USING (session_id) GROUP BY ALL) f JOIN k USING (line)
         WHERE EXISTS (SELECT 1 FROM told WHERE told.step_id = f.step_id AND list_contains(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{Nd}}_./-]+'), term))
         QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY sessions DESC, carriers DESC, line) <= 3"""),
+    "a13_command_projects": (_commands, """
+        WITH r AS (SELECT o_orderpriority AS command, o_custkey AS session_id, 'p' || o_custkey % 31 AS project, o_orderdate AS ts FROM orders),
+        e AS (SELECT command, project, count(DISTINCT session_id) AS n, max(ts) AS last FROM r GROUP BY command, project QUALIFY row_number() OVER (PARTITION BY command ORDER BY n DESC, project) <= 24),
+        p AS (SELECT command, string_agg(project || ':' || n || ':' || epoch(last)::BIGINT, ',' ORDER BY n DESC, project) AS projects FROM e GROUP BY 1)
+        SELECT command, count(*) AS runs, count(DISTINCT session_id) AS sessions, max(ts) AS last, any_value(projects) AS projects FROM r JOIN p USING (command) GROUP BY command HAVING count(DISTINCT session_id) >= 2"""),
+    "a32_evidence": (_evidence, rf"""WITH {_BASE[:_BASE.index('b AS (')]}
+        q AS (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark), w AS (SELECT item_id, token, ln(((SELECT count(DISTINCT session_id) FROM m) + 1) / sessions) AS weight FROM q JOIN cat USING (token)),
+        k AS (SELECT item_id, session_id, round(sum(weight), 6) AS score FROM w JOIN (SELECT DISTINCT token, session_id FROM p) USING (token) GROUP BY ALL),
+        t AS (SELECT item_id, session_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, session_id) AS place FROM k QUALIFY place <= 10),
+        g AS (SELECT item_id, doc_id AS session_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+        o AS (SELECT item_id, count(*) AS evidence, count(*) FILTER (place <= 5) AS found_5, count(place) AS found_10, min(place) AS first FROM g LEFT JOIN t USING (item_id, session_id) GROUP BY 1),
+        r AS (SELECT item_id, coalesce(evidence, 0) AS evidence, found_5, found_10, first FROM benchmark LEFT JOIN o USING (item_id))
+        SELECT count(*) AS items, count(*) FILTER (evidence > 0) AS covered, count(*) FILTER (first = 1) AS hit_1, count(*) FILTER (first <= 5) AS hit_5, count(*) FILTER (first <= 10) AS hit_10,
+               round(avg(found_5 / evidence) FILTER (evidence > 0), 6) AS evidence_5, round(avg(found_10 / evidence) FILTER (evidence > 0), 6) AS evidence_10, round(sum(coalesce(1 / first, 0)) / count(*), 6) AS mrr,
+               quantile_cont(first, 0.5)::DOUBLE AS first_p50, quantile_cont(first, 0.9)::DOUBLE AS first_p90, quantile_cont(evidence, 0.9)::DOUBLE AS evidence_p90 FROM r"""),
+    "r15_closest": (lambda s, d: table(s, d, "documents").select("doc_id", covering_window(F.col("text"), list(_NEAR)).cast("long").alias("bytes")), f"""
+        WITH t AS MATERIALIZED (SELECT doc_id, lower(text) AS low FROM documents), k AS (SELECT unnest({list(_NEAR)}) AS term),
+        o AS MATERIALIZED (SELECT doc_id, term, strlen(low[:i - 1]) AS pos, strlen(term) AS size FROM (SELECT doc_id, low, term, unnest(list_filter(range(1, length(low) + 1), lambda i: low[i:i + length(term) - 1] = term)) AS i FROM t, k WHERE contains(low, term))),
+        f AS (SELECT doc_id, count(*) AS n, max(pos + size) - min(pos) AS span FROM (SELECT doc_id, term, min(pos) AS pos, any_value(size) AS size FROM o GROUP BY ALL) GROUP BY 1),
+        l AS (SELECT doc_id, pos + size AS upto, {', '.join(f"max(pos) FILTER (term = '{t}') OVER w AS l{i}" for i, t in enumerate(_NEAR))} FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY pos, list_position({list(_NEAR)}, term) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        c AS (SELECT doc_id, min(upto - least(l0, l1, l2)) FILTER (l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL) AS best FROM l GROUP BY 1)
+        SELECT doc_id, CASE WHEN low IS NULL THEN NULL WHEN coalesce(n, 0) < 3 THEN 0 WHEN span <= 200 THEN span ELSE best END::BIGINT AS bytes FROM t LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)"""),
     "d15_densest": (lambda s, d: densest(archive(s, d), ["the", "und", "ción"], 6).withColumn("hits", F.col("hits").cast("long")), rf"""
         WITH m AS (SELECT doc_id AS session_id, unnest(range(len(l)))::BIGINT AS seq, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
         h AS (SELECT *, ({_DENSE})::BIGINT AS hits FROM m), n AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n, bool_or(hits > 0) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near,
