@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.language import clipped, decides, gives_up, has_word, sentences
 from ..functions.scalars import base_name, mention_count, mention_level, nfc, path_matches, trimmed
+from .places import placed
 
 WORK = ("files", "command", "edit")
 
@@ -77,7 +78,7 @@ def imported(batch: DataFrame, seen: DataFrame, own: DataFrame) -> DataFrame:
     """
     marked = batch.withColumn("mark", F.xxhash64("session_id", "role", "ts", "text"))
     new = marked.join(seen.select("mark"), "mark", "left_anti").join(own.select("mark"), "mark", "left_anti")
-    return new.groupBy("mark").agg(*(F.min(c).alias(c) for c in batch.columns))
+    return new.select("mark", *batch.columns).distinct()
 
 
 def whole_files(records: DataFrame) -> DataFrame:
@@ -146,8 +147,8 @@ def envelope(page_: DataFrame, tier: str, key: str) -> DataFrame:
 
 
 def newest_first(metas: DataFrame) -> DataFrame:
-    """Places of sessions: last updated first, then by harness and id."""
-    return metas.select("session_id", F.row_number().over(Window.orderBy(F.desc("updated"), "harness", "session_id")).cast("long").alias("place"))
+    """Places of sessions: last updated first, then by harness and id; numbered by ranges, not in one task."""
+    return placed(metas.select("session_id", "updated", "harness"), [F.desc("updated"), F.col("harness"), F.col("session_id")]).select("session_id", "place")
 
 
 def recall_order(rows: DataFrame, now: Column, days: int = 90, most: int = 12) -> DataFrame:
@@ -263,9 +264,8 @@ def digest(messages: DataFrame, terms: list[str], lines: int = 3) -> DataFrame:
 def conventions(notes: DataFrame, projects: list[str], most: int = 5, budget: int = 600) -> DataFrame:
     """Accepted notes of some projects, the latest state of each, newest first, so many within a budget of bytes."""
     latest = notes.groupBy("key").agg(F.max_by(F.struct("state", "project", "text", "ts"), F.struct("ts", "seq")).alias("n")).select("key", "n.*")
-    own = latest.where((F.col("state") == "accepted") & F.col("project").isin(projects))
-    by = Window.orderBy(F.desc("ts"), "key")
-    rows = own.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most).withColumn("upto", F.sum(F.octet_length("text")).over(by))
+    own = latest.where((F.col("state") == "accepted") & F.col("project").isin(projects)).orderBy(F.desc("ts"), "key").limit(most)
+    rows = own.withColumn("upto", F.sum(F.octet_length("text")).over(Window.orderBy(F.desc("ts"), "key")))  # the few that are left
     return rows.where(F.col("upto") <= budget).select("key", "text")
 
 
