@@ -206,8 +206,7 @@ def spans(records: DataFrame) -> DataFrame:
 def restorable(records: DataFrame, path: str, sessions: int = 400) -> DataFrame:
     """The replaced spans of a file, newest first, of so many of its sessions at most."""
     own = records.where("role = 'edit'").where(path_matches(F.substring_index("text", "\n", 1), path))
-    nth = F.dense_rank().over(Window.orderBy(F.desc("newest"), "session_id"))
-    newest = own.groupBy("session_id").agg(F.max("ts").alias("newest")).withColumn("nth", nth).where(F.col("nth") <= sessions)
+    newest = own.groupBy("session_id").agg(F.max("ts").alias("newest")).orderBy(F.desc("newest"), "session_id").limit(sessions)
     span = F.substring("text", F.instr("text", "\n") + 1, F.lit(1 << 20))
     return own.join(newest.select("session_id"), "session_id").select("session_id", "seq", "ts", span.alias("span")).orderBy(F.desc("ts"), "session_id", F.desc("seq"))
 
