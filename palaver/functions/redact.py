@@ -48,6 +48,18 @@ def entropy(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
 
 
+def bits(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key and bits a character of each text, counted character by character in the JVM; an empty or null text has none (null).
+
+    The characters of a text meet as counts, at most as many as the text has different ones.
+    """
+    chars = rows.select(key, F.explode_outer(F.filter(F.split(text, ""), lambda c: c != "")).alias("__char"))
+    counts = chars.groupBy(key, "__char").agg(F.count("__char").alias("__n"))
+    log = F.when(F.col("__n") > 0, F.col("__n") * F.log2("__n"))
+    n = F.sum("__n")
+    return counts.groupBy(key).agg(F.when(n > 0, F.log2(n) - F.sum(log) / n).alias("bits"))
+
+
 def is_random(token: str) -> bool:
     """Whether a run reads like a secret: three kinds of characters, no hexadecimal number, no path, enough bits."""
     if len(token) > LONGEST or re.fullmatch(r"[0-9a-fA-F-]*", token) or sum(bool(k.search(token)) for k in _KINDS) < 3:

@@ -218,8 +218,9 @@ def densest_mention(text: Column, query: str, ahead: int = 200) -> Column:
     n = F.size(parts) - 1
     zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("now"))
     at = F.aggregate(F.slice(parts, 1, 256), zero, lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["now"] + F.char_length(p))).alias("at"), (acc["now"] + F.char_length(p) + len(q)).alias("now")), lambda acc: F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - F.when(n < 256, 1).otherwise(0), F.lit(0))))
-    score = F.transform(at, lambda p: F.struct(F.size(F.filter(at, lambda o: (o >= p) & (o - p <= ahead))).alias("n"), (-p).alias("p")))
-    return F.when(F.lit(q == "") | (n == 0), -1).otherwise(-F.array_max(score)["p"])
+    score = lambda a: F.transform(a, lambda p: F.struct(F.size(F.filter(a, lambda o: (o >= p) & (o - p <= ahead))).alias("n"), (-p).alias("p")))
+    best = F.get(F.transform(F.array(at), lambda a: F.array_max(score(a))), F.lit(0))  # as a list of one, so that the places are found once
+    return F.when(F.lit(q == "") | (n == 0), -1).otherwise(-best["p"])
 
 
 def snippet(text: Column, query: str) -> Column:

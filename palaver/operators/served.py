@@ -343,7 +343,7 @@ def to_deliver(records: DataFrame, delivered: DataFrame) -> DataFrame:
     """For each peer the records after its mark of their source, those at it that weren't delivered, and all without a mark."""
     peers = delivered.select("peer").distinct()
     marks = delivered.groupBy("peer", "source").agg(F.max("ts").alias("mark"))
-    rows = records.crossJoin(F.broadcast(peers)).join(marks, ["peer", "source"], "left").where("mark is null or ts is null or ts >= mark")
+    rows = records.crossJoin(peers).join(marks, ["peer", "source"], "left").where("mark is null or ts is null or ts >= mark")
     return rows.join(delivered.select("peer", "record"), ["peer", "record"], "left_anti").select("peer", "record")
 
 
@@ -353,9 +353,14 @@ def rotated(events: DataFrame, now: Column, days: int = 14) -> DataFrame:
 
 
 def forgotten(metas: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Sessions that a tombstone names by a prefix of their id, or their project."""
-    by_prefix = metas.join(F.broadcast(selectors.where("kind = 'id'")), F.col("session_id").cast("string").startswith(F.col("value")), "left_semi")
-    by_project = metas.join(F.broadcast(selectors.where("kind = 'project'")), F.col("project") == F.col("value"), "left_semi")
+    """Sessions that a tombstone names by a prefix of their id (an empty one names all), or their project.
+
+    Each id gives its own prefixes, so that many tombstones are joined by equality, of whichever size.
+    """
+    own = F.col("session_id").cast("string")
+    prefixes = metas.select("session_id", F.explode(F.transform(F.sequence(F.lit(0), F.char_length(own)), lambda n: F.left(own, n))).alias("value"))
+    by_prefix = prefixes.join(selectors.where("kind = 'id'"), "value", "left_semi")
+    by_project = metas.join(selectors.where("kind = 'project'"), F.col("project") == F.col("value"), "left_semi")
     return by_prefix.select("session_id").unionByName(by_project.select("session_id")).distinct()
 
 
@@ -415,7 +420,7 @@ def brief(events: DataFrame, now: Column) -> DataFrame:
 def to_fetch(rows: DataFrame, marks: DataFrame, source: str, order: str, key: str) -> DataFrame:
     """Rows of each source after the last one that was read, by time and id; all of sources never read. marks: source, mark, mark_id."""
     later = F.col("mark").isNull() | (F.col(order) > F.col("mark")) | ((F.col(order) == F.col("mark")) & (F.col(key) > F.col("mark_id")))
-    return rows.join(F.broadcast(marks), source, "left").where(later).select(rows.columns)
+    return rows.join(marks, source, "left").where(later).select(rows.columns)
 
 
 def rewritten_notes(notes: DataFrame, gone: DataFrame, titles: DataFrame) -> DataFrame:

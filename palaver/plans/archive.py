@@ -70,7 +70,7 @@ _DAYS = "(SELECT doc_id AS session_id, text, lang AS project, TIMESTAMP '2024-01
 def _pushed(s, d):
     orders = table(s, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("started"))
     marks = s.createDataFrame(_MARKS, "peer string, source string, mark string").withColumn("mark", F.col("mark").cast("timestamp"))
-    return L.pushed_to(orders, F.broadcast(marks))
+    return L.pushed_to(orders, marks)
 
 
 def _relevance_sql(terms):
