@@ -85,7 +85,8 @@ def _mixed(rows):
     out = []
     for r in rows:
         rate = target[r[3]] / size[r[3]]
-        part = int(hashlib.md5(f"{r[0]}:17".encode()).hexdigest()[:13], 16) / 16**13
+        key = f"{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}:0:17"  # no two rows here are equal, so each one's number is 0
+        part = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 16**13
         out += [r] * (int(rate) + (part < rate - int(rate)))
     return out
 
