@@ -229,6 +229,55 @@ _WRAPPED = ["a <recall>{}</recall> b {}", "<system-reminder>{}</system-reminder>
 _COMMANDS = ["cd {} && go test ./...", 'grep "go test" {}', "ls -la {}", "npm run {}", "git push | cat {}", "git status {}"]
 
 
+def _page_paths(s, d):
+    url = F.col("url")
+    return table(s, d, "pages").select("page_id", S.base_name(url).alias("name"), S.project_name(F.regexp_replace(url, "[?#].*$", "")).alias("project"), S.path_matches(F.translate(url, "/", "\\"), "25").alias("matches"))
+
+
+def _session_words(s, d):
+    """The words of a session's first two messages, sixteen at most."""
+    m = messages(s, d).groupBy("session_id").agg(*(F.max(F.when(F.col("seq") == k, F.split(F.lower("text"), " "))).alias(f"w{k}") for k in (0, 1))).where("w0 is not null and w1 is not null")
+    return m.select("session_id", F.array_join(S.merged_capped(F.col("w0"), F.col("w1"), 16), "|").alias("words"))
+
+
+_SESSION_WORDS_SQL = f"""
+    WITH m AS (SELECT session_id, list_concat(max(string_split(lower(text), ' ')) FILTER (seq = 0), max(string_split(lower(text), ' ')) FILTER (seq = 1)) AS w FROM {_MESSAGES} WHERE seq < 2 GROUP BY session_id HAVING count(DISTINCT seq) = 2),
+    u AS (SELECT session_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM m), f AS (SELECT session_id, t, min(i) AS i FROM u GROUP BY ALL)
+    SELECT session_id, string_agg(t, '|' ORDER BY i) AS words FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY i) <= 16) GROUP BY session_id"""
+
+
+def _tags(s, d):
+    tags = F.transform(F.slice(F.split("text", " "), 1, 12), lambda w: F.concat(F.lit(" #"), w, F.lit(" ")))
+    return _documents(s, d).select("doc_id", F.array_join(S.normal_tags(tags), "|").alias("tags"))
+
+
+_TAGS_SQL = """
+    WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:12]) AS w, generate_subscripts(string_split(text, ' ')[1:12], 1) AS i FROM documents),
+    f AS (SELECT doc_id, lower(rtrim(w, ' ' || chr(9) || chr(10))) AS t, min(i) AS i FROM w WHERE rtrim(w, ' ' || chr(9) || chr(10)) != '' GROUP BY ALL),
+    k AS (SELECT doc_id, string_agg(t, '|' ORDER BY i) AS tags FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 8) GROUP BY doc_id)
+    SELECT doc_id, coalesce(tags, '') AS tags FROM documents LEFT JOIN k USING (doc_id)"""
+
+
+def _marked(s, d):
+    """Documents of which two thirds have all lines but the first one numbered or marked as a tool's."""
+    put = F.when(F.col("doc_id") % 3 == 0, "\n12: ").when(F.col("doc_id") % 3 == 1, "\ntool_use ").otherwise("\n")
+    return _documents(s, d).select("doc_id", F.replace("text", F.lit("\n"), put).alias("text"))
+
+
+_FLAT_SQL = """
+    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x != '') AS l FROM documents),
+    k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN l ELSE l[1:1] END AS k FROM l),
+    f AS (SELECT doc_id, regexp_replace(array_to_string(k, ' '), '[ \t]+', ' ', 'g') AS flat FROM k)"""
+_SNIPPET_SQL = f"""{_FLAT_SQL},
+    p AS (SELECT doc_id, unnest(string_split(lower(flat), 'ion')) AS part, generate_subscripts(string_split(lower(flat), 'ion'), 1) AS i FROM f),
+    a AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + 3 * (i - 1))::BIGINT AS spot FROM p),
+    m AS (SELECT doc_id, spot FROM a WHERE i < n AND i <= 256),
+    c AS (SELECT doc_id, spot, count(*) OVER (PARTITION BY doc_id ORDER BY spot RANGE BETWEEN CURRENT ROW AND 200 FOLLOWING) AS n FROM m),
+    b AS (SELECT doc_id, greatest(arg_min(spot, (-n, spot)) - 100, 0) AS start FROM c GROUP BY doc_id),
+    s AS (SELECT doc_id, flat, length(flat) AS n, CASE WHEN coalesce(start, 0) + 300 > length(flat) THEN greatest(length(flat) - 300, 0) ELSE coalesce(start, 0) END AS start FROM f LEFT JOIN b USING (doc_id))
+    SELECT doc_id, CASE WHEN start > 0 THEN '… ' ELSE '' END || trim(substr(flat, start + 1, 300), ' ,.;:-') || CASE WHEN start + 300 < n THEN ' …' ELSE '' END AS shown FROM s"""
+
+
 def _formed(shapes, **columns):
     """What some functions make of each document's first word, put into shapes by its id."""
 
@@ -275,5 +324,10 @@ ALL = {
     "p13_given_up": (_formed(_GIVE_UP, gives_up=L.gives_up), _formed_sql(("gives_up", "true true false false false false true true".split()))),
     "t17_unwrapped_documents": (_formed(_WRAPPED, shown=L.unwrapped), _formed_sql(("shown", ["'a  b ' || w", "w", "w", "w || chr(10) || w", "w", "'<system-reminder>' || w"]))),
     "s25_document_commands": (_formed(_COMMANDS, telling=L.is_telling, looks=L.is_inspection), _formed_sql(("telling", "true false false true true true".split()), ("looks", "false false true false false true".split()))),
+    "t24_page_paths": (_page_paths, r"SELECT page_id, regexp_extract(url, '[^/]*$') AS name, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1) AS project, suffix(url, '/25') AS matches FROM pages"),
+    "f17_session_words": (_session_words, _SESSION_WORDS_SQL),
+    "f19_document_tags": (_tags, _TAGS_SQL),
+    "t25_document_excerpts": (lambda s, d: _marked(s, d).select("doc_id", F.md5(L.snippet_text(F.col("text")).cast("binary")).alias("digest")), f"{_FLAT_SQL} SELECT doc_id, md5(flat) AS digest FROM f"),
+    "t18_document_snippets": (lambda s, d: _marked(s, d).select("doc_id", S.snippet(F.col("text"), "ion").alias("shown")), _SNIPPET_SQL),
     "f01_redacted_documents": (_redacted, _REDACTED_SQL),
 }
