@@ -39,10 +39,10 @@ def _recall(s, d):
     post = S.postings(docs, "doc_id")
     asked = bench.select("item_id", F.explode(T.tokens(F.col("text"))).alias("token"))
     # the 12 rarest tokens of each item, so that common ones don't join with most of the table
-    df = post.join(F.broadcast(asked.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("df"))
+    df = post.join(asked.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("df"))
     nth = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "token"))
     rare = asked.join(df, "token").withColumn("nth", nth).where("nth <= 12").select("item_id", "token")
-    hits = post.join(F.broadcast(rare), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    hits = post.join(rare, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
     top = hits.withColumn("rank", rank).where("rank <= 10").join(bench.withColumnRenamed("text", "passage"), "item_id").join(docs, "doc_id")
     found = bench.select("item_id").join(top.groupBy("item_id").agg(F.min(F.when(F.contains("text", F.col("passage")), F.col("rank"))).alias("first")), "item_id", "left")
