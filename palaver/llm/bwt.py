@@ -3,7 +3,8 @@
 A shard is a byte string whose parts are each ended by a zero. Its rotations are sorted by prefix doubling. Two shards are
 merged without sorting their suffixes again: which shard each merged row comes from is refined two symbols a round, by
 putting the rows, in their present order, in the order of the two symbols before them. After h rounds rows are in the order
-of their first 2 * h symbols, and rows that share these form a block; one that splits in round h had 2 * h - 2 in common.
+of their first 2 * h symbols, and rows that share these form a block. A row alone in its block repeats nothing, and neither
+do the rows before it, so it leaves the interleave: a round costs as much as there are rows that still repeat.
 """
 
 from __future__ import annotations
@@ -23,38 +24,56 @@ def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # a group's number is the place of its first row
     k = 8
-    while k < depth and not new.all():
-        key = rank * np.int64(n + 1) + np.roll(rank, -(k % n))
-        order = np.argsort(key)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank[order] = np.cumsum(new)
+    while k < depth:
+        open_ = np.flatnonzero(~_alone(new))
+        if not len(open_):
+            break
+        rows = order[open_]
+        key = rank[rows] * np.int64(n + 1) + rank[(rows + k) % n]
+        turn = np.argsort(key)
+        rows, key = rows[turn], key[turn]
+        order[open_] = rows
+        new[open_[1:]] = key[1:] != key[:-1]
+        head = new[open_]
+        rank[rows] = open_[head][np.cumsum(head) - 1]
         k *= 2
     return order
 
 
+def _alone(new: np.ndarray) -> np.ndarray:
+    """Which rows are groups of their own; new: which rows begin a group."""
+    return new & np.append(new[1:], True)
+
+
 def merge(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in the text left + right by merged row, and the number of each row's block of equal first symbols, an even number of them."""
-    shards = (left, right)
-    orders = [sorted_rotations(s, depth) for s in shards]
-    # the transform, two symbols wide: those before each rotation
-    before = [np.take(s, o - 2, mode="wrap").astype(np.uint16) << 8 | np.take(s, o - 1, mode="wrap") for s, o in zip(shards, orders, strict=True)]
-    second = np.repeat(np.array([False, True]), (len(left), len(right)))
-    block = np.zeros(len(second), np.int32)
-    symbols = np.empty(len(second), np.uint16)
-    new = np.ones(len(second), bool)
+    """Starts in the text left + right by merged row, and each row's block of equal first symbols, an even number of them.
+
+    Only rows whose block holds several are returned; those of a block are next to each other.
+    """
+    starts, before, back = [], [], []
+    for s, offset in ((left, 0), (right, len(left))):
+        order = sorted_rotations(s, depth)
+        place = np.empty(len(s), np.int32)
+        place[order] = np.arange(offset, offset + len(s), dtype=np.int32)
+        starts.append(order + offset)
+        # the transform, two symbols wide: those before each rotation, and the row of the rotation that begins with them
+        before.append(np.take(s, order - 2, mode="wrap").astype(np.uint16) << 8 | np.take(s, order - 1, mode="wrap"))
+        back.append(np.take(place, order - 2, mode="wrap"))
+    start, symbol, before_it = (np.concatenate(x) for x in (starts, before, back))
+    row = np.arange(len(start), dtype=np.int32)
+    block = np.zeros(len(start), np.int32)
     for _ in range(-(-depth // 2)):
-        symbols[second] = before[1]
-        symbols[~second] = before[0]
-        order = np.argsort(symbols, kind="stable")
-        symbols, origin = symbols[order], block[order]
-        np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
-        new[1:] |= origin[1:] != origin[:-1]
-        second, block = second[order], np.cumsum(new, dtype=np.int32)
-    start = np.empty(len(second), np.int64)
-    start[~second], start[second] = orders[0], orders[1] + len(left)
-    return start, block
+        two = symbol[row]
+        order = np.argsort(two, kind="stable")
+        two, origin, row = two[order], block[order], before_it[row[order]]
+        new = np.ones(len(row), bool)
+        new[1:] = (two[1:] != two[:-1]) | (origin[1:] != origin[:-1])
+        block = np.cumsum(new, dtype=np.int32)
+        several = ~_alone(new)
+        row, block = row[several], block[several]
+    return start[row], block
 
 
 def earlier(parts: list[bytes], windows: np.ndarray, first: np.ndarray, second: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
