@@ -3,8 +3,9 @@
 A shard is a byte string whose parts are each ended by a zero. Its rotations are sorted by prefix doubling. Two shards are
 merged without sorting their suffixes again: which shard each merged row comes from is refined two symbols a round, by
 putting the rows, in their present order, in the order of the two symbols before them. After h rounds rows are in the order
-of their first 2 * h symbols, and rows that share these form a block. A row alone in its block repeats nothing, and neither
-do the rows before it, so it leaves the interleave: a round costs as much as there are rows that still repeat.
+of their first 2 * h symbols, and rows that share these form a block. Only rows that lead back to a window asked for take
+part: in round h those that begin 2 * h symbols before its end. A row alone in its block repeats nothing, and neither do the
+rows before it, so it leaves the interleave: a round costs as much as there are rows that still repeat.
 """
 
 from __future__ import annotations
@@ -47,24 +48,27 @@ def _alone(new: np.ndarray) -> np.ndarray:
     return new & np.append(new[1:], True)
 
 
-def merge(left: np.ndarray, right: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(left: np.ndarray, right: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts in the text left + right by merged row, and each row's block of equal first symbols, an even number of them.
 
-    Only rows whose block holds several are returned; those of a block are next to each other.
+    Wanted: starts of the windows asked for, each at least so many symbols before its shard's end. Only rows whose block holds
+    several are returned; those of a block are next to each other.
     """
-    starts, before, back = [], [], []
+    rounds = -(-depth // 2)
+    starts, places, before, back = [], [], [], []
     for s, offset in ((left, 0), (right, len(left))):
         order = sorted_rotations(s, depth)
         place = np.empty(len(s), np.int32)
         place[order] = np.arange(offset, offset + len(s), dtype=np.int32)
         starts.append(order + offset)
+        places.append(place)
         # the transform, two symbols wide: those before each rotation, and the row of the rotation that begins with them
         before.append(np.take(s, order - 2, mode="wrap").astype(np.uint16) << 8 | np.take(s, order - 1, mode="wrap"))
         back.append(np.take(place, order - 2, mode="wrap"))
     start, symbol, before_it = (np.concatenate(x) for x in (starts, before, back))
-    row = np.arange(len(start), dtype=np.int32)
-    block = np.zeros(len(start), np.int32)
-    for _ in range(-(-depth // 2)):
+    row = np.sort(np.concatenate(places)[wanted + 2 * rounds])  # left's, then right's, as each shard has them
+    block = np.zeros(len(row), np.int32)
+    for _ in range(rounds):
         two = symbol[row]
         order = np.argsort(two, kind="stable")
         two, origin, row = two[order], block[order], before_it[row[order]]
@@ -89,16 +93,12 @@ def earlier(parts: list[bytes], windows: np.ndarray, first: np.ndarray, second:
     ends = np.cumsum(lengths + 1) - 1
     both = np.concatenate(shards) + np.uint8(1)
     both[ends] = 0
-    start, block = merge(both[: len(shards[0])], both[len(shards[0]) :], depth)
+    windows = np.maximum(windows, 0)
+    begin, of = ends - lengths, np.repeat(np.arange(len(parts)), windows)
+    wanted = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[of]
+    start, block = merge(both[: len(shards[0])], both[len(shards[0]) :], wanted, depth)
     part = np.searchsorted(ends, start, "left")
-    at = start - (ends[part] - lengths[part])
-    own = at < windows[part]
-    part, at, block = part[own], at[own], block[own]
-    twin = np.zeros(len(block), bool)
-    same = block[1:] == block[:-1]
-    twin[1:] |= same
-    twin[:-1] |= same
-    part, at, block = part[twin], at[twin], block[twin]
+    at = start - begin[part]
     one, two = first[part], second[part] + at
     order = np.lexsort((two, one, block))
     part, at, block, one, two = part[order], at[order], block[order], one[order], two[order]

@@ -132,6 +132,17 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return spans_hash(_BYTE_CODE[data], starts, ends)
 
 
+def sliding_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The byte hashes of all windows of so many bytes."""
+    n = len(data)
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * up[:n], out=total[1:])
+    value = total[width:] - total[: n + 1 - width]
+    value *= down[: len(value)]
+    return mix64(value + np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
+
+
 def chunks(lengths: list[int], most: int = CHUNK_BYTES):
     """Slices of consecutive texts of about so many bytes together."""
     begin, total = 0, 0

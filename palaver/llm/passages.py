@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import earlier
-from .common import as_bytes, byte_hashes, chunks, frugal, stored
+from .common import as_bytes, byte_hashes, chunks, frugal, sliding_hashes, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that are merged at once; the contexts of one anchor stay together.
@@ -65,7 +65,8 @@ def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     n = len(data)
     at = np.arange(n - GRAM + 1)
     bits = np.uint64(max(1, int(n).bit_length()))
-    value = byte_hashes(data, at, at + GRAM) >> bits << bits | at.astype(np.uint64)  # the place decides between equal ones
+    gram = sliding_hashes(data, GRAM)
+    value = gram >> bits << bits | at.astype(np.uint64)  # the place decides between equal ones
     anchor = (least_in_windows(value, LENGTH - GRAM + 1) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     window = np.arange(len(anchor))
     of = np.repeat(np.arange(len(keep)), lengths)[: len(anchor)]
@@ -73,7 +74,7 @@ def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     window, anchor, of = window[whole], anchor[whole], of[whole]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])]))
     first, last = window[new], window[np.concatenate([new[1:], [len(window)]]) - 1]
-    return np.array(keep)[of[new]], first - (ends - lengths)[of[new]], last - first + 1, byte_hashes(data, anchor[new], anchor[new] + GRAM), byte_hashes(data, first, last + LENGTH)
+    return np.array(keep)[of[new]], first - (ends - lengths)[of[new]], last - first + 1, gram[anchor[new]], byte_hashes(data, first, last + LENGTH)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
