@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ladder import _bucket, indexed
+from .ladder import BUCKETS, SLICES, _bucket, indexed
 
 MOST = 8
 
@@ -64,15 +64,17 @@ class Postings:
         number = self.newest() + 1
         live = self.live(number - 1)
         rows = indexed(fresh.withColumn("session_id", F.struct("path", "session_id"))).select("token", "session_id.path", "session_id.session_id", "seq", _bucket(F.col("token")).cast("int").alias("bucket"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "token", "path", "session_id", "seq").write.partitionBy("bucket").parquet(f"{self.folder}/fresh/{number}")
+        rows.write.parquet(f"{self.folder}/fresh/{number}")
         new = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.folder}/fresh/{number}")
         added = {r[0] for r in new.select("bucket").distinct().collect()}  # one a bucket at most
         old = changes.where("what IN ('changed', 'gone')").select("path").distinct()
         held = self._of(live, sorted(live))
         touched = {r[0] for r in held.join(old, "path", "left_semi").select(_bucket(F.col("token")).cast("int").alias("b")).distinct().collect()}
         touched |= {b for b in added if len(live.get(b, ())) >= MOST}
-        kept = self._of(live, sorted(touched)).join(old, "path", "left_anti").withColumn("bucket", _bucket(F.col("token")).cast("int"))
-        out = kept.unionByName(new).distinct().repartition("bucket").sortWithinPartitions("bucket", "token", "path", "session_id", "seq")
+        kept = self._of(live, sorted(touched)).join(old, "path", "left_anti")
+        # rows move once: dealt by slices of the buckets, equal ones meet where they are; a task writes few buckets
+        slices = kept.unionByName(new.drop("bucket")).withColumn("slice", F.pmod(F.xxhash64("token"), F.lit(BUCKETS * SLICES)).cast("int"))
+        out = slices.repartition("slice").distinct().withColumn("bucket", F.col("slice") % BUCKETS).drop("slice").sortWithinPartitions("bucket", "token", "path", "session_id", "seq")
         out.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/rows/{number}")
         written = {r[0] for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.folder}/rows/{number}").select("bucket").distinct().collect()}
         now = {b: [*([] if b in touched else g), *([number] if b in written else [])] for b, g in {**{b: [] for b in written}, **live}.items()}

@@ -21,7 +21,8 @@ from .queries import _TOKENS
 
 def _updated(s, d):
     """Half of each document first, some sources with other words, and a file that goes; then the rest."""
-    lines = archive(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("session_id"), F.coalesce("source", F.lit("none")).alias("path"), F.size(F.split("text", "\n")).alias("n")), "session_id")
+    lines = table(s, d, "documents").select(F.coalesce("source", F.lit("none")).alias("path"), F.col("doc_id").alias("session_id"), F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    lines = lines.withColumn("seq", F.col("seq").cast("long")).withColumn("ts", F.lit(None).cast("timestamp"))
     changed, half = F.col("path").endswith("3"), F.col("seq") * 2 < F.col("n")
     lines = lines.select("path", "session_id", "seq", "text", "ts", changed.alias("changed"), half.alias("half"))
     own, columns = Postings(s, shared_dir(s)), ("path", "session_id", "seq", "text", "ts")
