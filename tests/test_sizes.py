@@ -1,15 +1,17 @@
 """Steps whose rows must follow the input: each posting moves once in an update, pairs of tokens are counted in bounded pieces."""
 
+from palaver.operators import search
 from palaver.operators.increments import Postings
 from test_planner_size import moved
 
 
 
 
-def test_an_update_moves_each_posting_once(spark, tmp_path):
-    rows = [("p", i, 0, " ".join(f"word{(i * 7 + k) % 90}" for k in range(20)), None) for i in range(200)]
-    fresh = spark.createDataFrame(rows, "path string, session_id long, seq long, text string, ts timestamp")
-    own = Postings(spark, str(tmp_path))
-    n = moved(spark, lambda: own.update(fresh, spark.createDataFrame([("p", "new")], "path string, what string")))
-    assert own.read().count() == 4000 == own.read().distinct().count()
-    assert n < 6_000  # 12,000 when dealt, made distinct and dealt again
+def test_pairs_of_tokens_are_counted_in_pieces(spark, monkeypatch):
+    rows = [(i, " ".join(f"token{(i % 40) * 3 + k}" for k in range(8))) for i in range(300)] + [(None, "token1 token2")]
+    texts = spark.createDataFrame(rows, "session_id long, text string")
+    want = sorted(map(tuple, search.neighbours_of_tokens(texts, "session_id").collect()))
+    monkeypatch.setattr(search, "SESSIONS", 10)
+    df = search.neighbours_of_tokens(texts, "session_id")
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()  # which nothing joins again
+    assert sorted(map(tuple, df.collect())) == want and want
