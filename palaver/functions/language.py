@@ -126,16 +126,22 @@ def cut_runs(run: Column, most: int = 64) -> Column:
     return F.when(F.octet_length(run) > most, parts).otherwise(F.array(run))
 
 
+def token_set(text: Column) -> Column:
+    """Distinct runs of letters, digits, underscores and hyphens in lower case, in parts of 65 bytes, of two bytes at least; only long runs are cut."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}_-]+"), F.lit(0)))
+    long = F.flatten(F.transform(F.filter(runs, lambda r: F.octet_length(r) > 64), lambda r: cut_runs(r)))
+    return F.array_distinct(F.concat(F.filter(runs, lambda r: F.octet_length(r).between(2, 64)), F.filter(long, lambda t: F.octet_length(t) >= 2)))
+
+
 def index_tokens(text: Column) -> Column:
-    """Distinct runs of letters, digits, underscores and hyphens in lower case, in parts of 65 bytes, of two bytes at least, longest first."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}_-]+"), F.lit(0))
-    kept = F.filter(F.array_distinct(F.flatten(F.transform(runs, lambda r: cut_runs(r)))), lambda t: F.octet_length(t) >= 2)
+    """The tokens of a text, longest first."""
+    kept = token_set(text)
     return F.transform(F.array_sort(F.transform(kept, lambda t: F.struct((-F.octet_length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
 
 
 def identifier_parts(text: Column) -> Column:
     """The parts, of three characters at least, of words of six or more that humps, underscores or hyphens divide, in lower case."""
-    words = F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nd}_-]{1,65}"), F.lit(0)), lambda w: F.char_length(w) >= 6)
+    words = F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nd}_-]{1,65}"), F.lit(0)), lambda w: (F.char_length(w) >= 6) & w.rlike(r".[\p{Lu}_-]"))  # others have one part
     split = lambda w: F.split(w, r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<!^)[_-]")
     parts = F.flatten(F.filter(F.transform(words, split), lambda p: F.size(p) > 1))
     return F.transform(F.filter(parts, lambda p: F.char_length(p) >= 3), F.lower)

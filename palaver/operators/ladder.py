@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.language import date_tokens, identifier_parts, index_tokens
+from ..functions.language import date_tokens, identifier_parts, token_set
 from ..functions.query import query_keys, query_parts, relevance_terms, word_forms
 from ..functions.scalars import osa
 from .search import neighbours_of_tokens
@@ -24,7 +24,7 @@ def _bucket(token):
 
 def indexed(messages: DataFrame) -> DataFrame:
     """Token, session_id, seq of each message's words, parts of identifiers and date."""
-    keys = F.array_distinct(F.concat(index_tokens(F.col("text")), identifier_parts(F.col("text")), F.coalesce(date_tokens(F.col("ts")), F.array().cast("array<string>"))))
+    keys = F.array_distinct(F.concat(token_set(F.col("text")), identifier_parts(F.col("text")), F.coalesce(date_tokens(F.col("ts")), F.array().cast("array<string>"))))
     return messages.select(F.explode(keys).alias("token"), "session_id", "seq")
 
 

@@ -1,10 +1,20 @@
 """Steps whose rows must follow the input: each posting moves once in an update, pairs of tokens are counted in bounded pieces."""
 
+from pyspark.sql import functions as F
+
+from palaver.functions.language import identifier_parts, index_tokens, token_set
 from palaver.operators import search
 from palaver.operators.increments import Postings
 from test_planner_size import moved
 
 
+def test_an_update_moves_each_posting_once(spark, tmp_path):
+    rows = [("p", i, 0, " ".join(f"word{(i * 7 + k) % 90}" for k in range(20)), None) for i in range(200)]
+    fresh = spark.createDataFrame(rows, "path string, session_id long, seq long, text string, ts timestamp")
+    own = Postings(spark, str(tmp_path))
+    n = moved(spark, lambda: own.update(fresh, spark.createDataFrame([("p", "new")], "path string, what string")))
+    assert own.read().count() == 4000 == own.read().distinct().count()
+    assert n < 6_000  # 12,000 when dealt, made distinct and dealt again
 
 
 def test_pairs_of_tokens_are_counted_in_pieces(spark, monkeypatch):
@@ -15,3 +25,10 @@ def test_pairs_of_tokens_are_counted_in_pieces(spark, monkeypatch):
     df = search.neighbours_of_tokens(texts, "session_id")
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()  # which nothing joins again
     assert sorted(map(tuple, df.collect())) == want and want
+
+
+def test_light_tokens_are_those_of_the_index(spark):
+    texts = ["aB abCDe x_y_z_longer " + "q" * 200, "ÉaÜber HTTPServer plain_words a-b", "", None, "İstanbul " + "é" * 70 + " é"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.sort_array(index_tokens(F.col("text"))).alias("a"), F.sort_array(token_set(F.col("text"))).alias("b"), identifier_parts(F.col("text")).alias("p")).collect()
+    assert all(r.a == r.b for r in df)
+    assert df[1].p == ["über", "http", "server", "plain", "words"]
