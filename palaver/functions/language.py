@@ -64,6 +64,11 @@ def fields(text: Column) -> Column:
     return F.filter(F.split(text, rf"{SPACE}+"), lambda w: w != "")
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it: as a list of one."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def one_line(text: Column) -> Column:
     return F.array_join(fields(text), " ")
 
@@ -300,8 +305,7 @@ def is_data(text: Column) -> Column:
 def snippet_text(text: Column) -> Column:
     """On one line, without numbered lines and tool output; the whole text if nothing else is left."""
     lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: (x != "") & ~x.rlike(r"^\s*\d{1,5}[:|]\s+|(?i)tool_use|tool_result|<local-command|netcat|npm ERR!|panic:|goroutine \d+"))
-    prose = one_line(F.array_join(lines, " "))
-    return F.when(prose != "", prose).otherwise(one_line(text))
+    return once(one_line(F.array_join(lines, " ")), lambda prose: F.when(prose != "", prose).otherwise(one_line(text)))
 
 
 def is_blocked(conclusions: Column) -> Column:

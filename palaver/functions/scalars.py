@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .language import fields, stripped
+from .language import fields, once, stripped
 
 
 def nfc(text: Column) -> Column:
@@ -213,14 +213,17 @@ def title_boost(title: Column, terms: list[str]) -> Column:
 
 def densest_mention(text: Column, query: str, ahead: int = 200) -> Column:
     """The characters before the mention after which most others begin within so many characters; -1 for none."""
-    low, q = F.lower(text), query.lower()
-    parts = F.split(low, r"\Q" + q + r"\E", -1)
-    n = F.size(parts) - 1
+    q = query.lower()
+    near = ahead // max(1, len(q)) + 1  # more don't begin so close, as they don't overlap
     zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("now"))
-    at = F.aggregate(F.slice(parts, 1, 256), zero, lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["now"] + F.char_length(p))).alias("at"), (acc["now"] + F.char_length(p) + len(q)).alias("now")), lambda acc: F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - F.when(n < 256, 1).otherwise(0), F.lit(0))))
-    score = lambda a: F.transform(a, lambda p: F.struct(F.size(F.filter(a, lambda o: (o >= p) & (o - p <= ahead))).alias("n"), (-p).alias("p")))
-    best = F.get(F.transform(F.array(at), lambda a: F.array_max(score(a))), F.lit(0))  # as a list of one, so that the places are found once
-    return F.when(F.lit(q == "") | (n == 0), -1).otherwise(-best["p"])
+    score = lambda a: F.transform(a, lambda p, i: F.struct(F.size(F.filter(F.slice(a, i + 1, F.lit(near)), lambda o: o - p <= ahead)).alias("n"), (-p).alias("p")))
+
+    def densest(parts: Column) -> Column:
+        n = F.size(parts) - 1
+        at = F.aggregate(F.slice(parts, 1, 256), zero, lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["now"] + F.char_length(p))).alias("at"), (acc["now"] + F.char_length(p) + len(q)).alias("now")), lambda acc: F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - F.when(n < 256, 1).otherwise(0), F.lit(0))))
+        return F.when(F.lit(q == "") | (n == 0), -1).otherwise(-once(at, lambda a: F.array_max(score(a)))["p"])
+
+    return once(F.split(F.lower(text), r"\Q" + q + r"\E", -1), densest)
 
 
 def snippet(text: Column, query: str) -> Column:
@@ -228,14 +231,21 @@ def snippet(text: Column, query: str) -> Column:
     from .language import snippet_text
     from .query import query_tokens
 
-    flat = snippet_text(text)
-    low = F.lower(flat)
-    words = [F.when(F.instr(low, t) > 0, F.instr(low, t) - 1) for t in query_tokens(query)]
-    any_ = F.least(*words) if len(words) > 1 else (words[0] if words else F.lit(0))
-    found = densest_mention(flat, query)
-    at = F.greatest(F.when(found >= 0, found).otherwise(F.coalesce(any_, F.lit(0))) - 100, F.lit(0))
-    n = F.char_length(flat)
-    start = F.when(at + 300 > n, F.greatest(n - 300, F.lit(0))).otherwise(at)
-    cut = F.regexp_replace(F.substring(flat, start + 1, F.lit(300)), r"^[ ,.;:\-\n\t]+|[ ,.;:\-\n\t]+$", "")
-    return F.concat(F.when(start > 0, F.lit("… ")).otherwise(""), cut, F.when(start + 300 < n, F.lit(" …")).otherwise(""))
+    words = query_tokens(query)
+
+    def place(flat: Column) -> Column:
+        first = once(F.lower(flat), lambda low: F.array_min(F.array(*(F.when(F.instr(low, t) > 0, F.instr(low, t) - 1) for t in words)))) if words else F.lit(0)
+        at = lambda found: F.greatest(F.when(found >= 0, found).otherwise(F.coalesce(first, F.lit(0))) - 100, F.lit(0))
+        return once(densest_mention(flat, query), at)
+
+    def cut(flat: Column, start: Column, n: Column) -> Column:
+        shown = F.regexp_replace(F.substring(flat, start + 1, F.lit(300)), r"^[ ,.;:\-\n\t]+|[ ,.;:\-\n\t]+$", "")
+        return F.concat(F.when(start > 0, F.lit("… ")).otherwise(""), shown, F.when(start + 300 < n, F.lit(" …")).otherwise(""))
+
+    def around(flat: Column) -> Column:
+        n = F.char_length(flat)
+        start = once(place(flat), lambda at: F.when(at + 300 > n, F.greatest(n - 300, F.lit(0))).otherwise(at))
+        return once(start, lambda s: cut(flat, s, n))
+
+    return once(snippet_text(text), around)
 

@@ -29,3 +29,14 @@ def test_densest_mention_of_odd_texts(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     got = {r.id: r.p for r in rows.select("id", S.densest_mention(F.col("text"), "the").alias("p")).collect()}
     assert got == {0: -1, 1: None, 2: 0, 3: 304, 4: 0}
+
+
+def test_a_snippet_flattens_its_text_once(spark):
+    """Each use of the flat text, of its mentions and of their place worked them out again."""
+    long = "word ion " * 400 + "x" * 300 + " ionion ion" + " tail" * 80
+    df = spark.createDataFrame([(1, long), (2, "no mention\nof it"), (3, None), (4, ""), (5, "tool_use of\n ion ")], "id long, text string")
+    shown = df.select("id", S.snippet(F.col("text"), "ion").alias("shown"))
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tool_use") == 1 and plan.count("lower(") == 2  # one more for a text without mentions
+    got = {r.id: r.shown for r in shown.collect()}
+    assert got == {1: ("word ion " * 34)[:300].strip() + " …", 2: "no mention of it", 3: None, 4: "", 5: "ion"}
