@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.language import date_tokens, identifier_parts, token_set
 from ..functions.query import query_keys, query_parts, relevance_terms, word_forms
 from ..functions.scalars import osa
+from ..functions.text import tokens
 from .search import neighbours_of_tokens
 
 BUCKETS = 64
@@ -95,6 +96,7 @@ def spelled(postings: DataFrame, query: str, nearest: int = 8, common: int = 200
     tried = asked.where((F.char_length("term") >= 4) & ~F.col("term").isin([*right] or [""]))
     limit = F.when(F.char_length("term") >= 8, 2).otherwise(1)
     pairs = catalog.join(F.broadcast(tried), F.abs(F.char_length("token") - F.char_length("term")) <= limit)
+    pairs = pairs.where(F.levenshtein("term", "token", 4).between(0, 2 * limit))  # a swap is two plain edits; few pairs are left for Python
     pairs = pairs.withColumn("d", osa(F.col("term"), F.col("token"))).where(F.col("d") <= limit)
     nth = F.row_number().over(Window.partitionBy("term").orderBy("d", "token"))
     variants = {t: [t] for t in terms}
@@ -106,9 +108,13 @@ def spelled(postings: DataFrame, query: str, nearest: int = 8, common: int = 200
 def by_neighbours(postings: DataFrame, query: str) -> DataFrame:
     """Sessions that hold all terms but one, and a token that often occurs in the sessions of that one."""
     terms = query_parts(query)[0]
-    texts = postings.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("text"))
-    near = neighbours_of_tokens(texts, "session_id").where(F.col("token").isin(terms)).collect()  # six a term
     out = holding(postings, {})
+    held = postings.select("session_id", F.explode(tokens(F.col("token"))).alias("token")).where(F.col("token").isin(terms))
+    often = held.groupBy("token").agg(F.countDistinct("session_id").alias("n")).where("n >= 3")
+    terms_met = [r["token"] for r in often.collect()]  # a query's terms, so few
+    if not terms_met:
+        return out
+    near = neighbours_of_tokens(postings, "session_id", "token", of=terms_met).collect()  # six a term
     for t in terms:
         own = [r["neighbour"] for r in near if r["token"] == t]
         if own:
