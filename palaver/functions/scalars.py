@@ -211,17 +211,27 @@ def title_boost(title: Column, terms: list[str]) -> Column:
     return 1 + 0.4 * F.coalesce(hits, F.lit(0)) / max(1, len(terms))
 
 
-def densest_mention(text: Column, query: str, ahead: int = 200) -> Column:
-    """The characters before the mention after which most others begin within so many characters; -1 for none."""
+def densest_mention(text: Column, query: str, ahead: int = 200, first: int | None = None) -> Column:
+    """The characters before the mention after which most others begin within so many characters; -1 for none.
+
+    Mentions are taken from the last one back, each with those that begin close behind it, which are few as they don't overlap.
+    All mentions count, or so many first ones if first is given.
+    """
     q = query.lower()
-    near = ahead // max(1, len(q)) + 1  # more don't begin so close, as they don't overlap
-    zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("now"))
-    score = lambda a: F.transform(a, lambda p, i: F.struct(F.size(F.filter(F.slice(a, i + 1, F.lit(near)), lambda o: o - p <= ahead)).alias("n"), (-p).alias("p")))
+    place = lambda n, back: F.struct(n.alias("n"), back.alias("back"))
+    state = lambda back, near, best: F.struct(back.alias("back"), near.alias("near"), best.alias("best"))
+    start = state(F.lit(0), F.array().cast("array<int>"), place(F.lit(0), F.lit(0)))
+
+    def met(acc, part):  # a part of the text, and the mention before it; of equally dense mentions the earlier one counts
+        back = acc["back"] + F.char_length(part) + len(q)
+        counted = lambda near: state(back, near, F.when(F.size(near) >= acc["best"]["n"], place(F.size(near), back)).otherwise(acc["best"]))
+        return once(F.concat(F.filter(acc["near"], lambda o: back - o <= ahead), F.array(back)), counted)
 
     def densest(parts: Column) -> Column:
         n = F.size(parts) - 1
-        at = F.aggregate(F.slice(parts, 1, 256), zero, lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["now"] + F.char_length(p))).alias("at"), (acc["now"] + F.char_length(p) + len(q)).alias("now")), lambda acc: F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - F.when(n < 256, 1).otherwise(0), F.lit(0))))
-        return F.when(F.lit(q == "") | (n == 0), -1).otherwise(-once(at, lambda a: F.array_max(score(a)))["p"])
+        rest = F.slice(parts, 2, F.greatest(n if first is None else F.least(n, F.lit(first)), F.lit(0)))
+        spot = lambda acc: F.char_length(F.get(parts, F.lit(0))) + acc["back"] - acc["best"]["back"]
+        return F.when(F.lit(q == "") | (n == 0), -1).otherwise(F.aggregate(F.reverse(rest), start, met, spot))
 
     return once(F.split(F.lower(text), r"\Q" + q + r"\E", -1), densest)
 

@@ -121,7 +121,8 @@ _LINES_SQL = rf"""
 
 
 def _mentions(s, d):
-    return _documents(s, d).select("doc_id", S.densest_mention(F.col("text"), "the").alias("place"))
+    """Of the first 256 mentions, as its SQL has it."""
+    return _documents(s, d).select("doc_id", S.densest_mention(F.col("text"), "the", first=256).alias("place"))
 
 
 _MENTIONS_SQL = """
@@ -271,7 +272,7 @@ _FLAT_SQL = """
 _SNIPPET_SQL = f"""{_FLAT_SQL},
     p AS (SELECT doc_id, unnest(string_split(lower(flat), 'ion')) AS part, generate_subscripts(string_split(lower(flat), 'ion'), 1) AS i FROM f),
     a AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + 3 * (i - 1))::BIGINT AS spot FROM p),
-    m AS (SELECT doc_id, spot FROM a WHERE i < n AND i <= 256),
+    m AS (SELECT doc_id, spot FROM a WHERE i < n),
     c AS (SELECT doc_id, spot, count(*) OVER (PARTITION BY doc_id ORDER BY spot RANGE BETWEEN CURRENT ROW AND 200 FOLLOWING) AS n FROM m),
     b AS (SELECT doc_id, greatest(arg_min(spot, (-n, spot)) - 100, 0) AS start FROM c GROUP BY doc_id),
     s AS (SELECT doc_id, flat, length(flat) AS n, CASE WHEN coalesce(start, 0) + 300 > length(flat) THEN greatest(length(flat) - 300, 0) ELSE coalesce(start, 0) END AS start FROM f LEFT JOIN b USING (doc_id))

@@ -31,6 +31,17 @@ def test_densest_mention_of_odd_texts(spark):
     assert got == {0: -1, 1: None, 2: 0, 3: 304, 4: 0}
 
 
+def test_all_mentions_of_a_long_text_count(spark):
+    """Only the first 256 were looked at, so what comes after them never was the densest."""
+    apart = ("the" + "." * 300) * 400
+    rows = spark.createDataFrame([(1, apart + "the the the"), (2, apart + "the the" + apart + "the the"), (3, "THE " * 5000 + apart), (4, apart)], "id long, text string")
+    got = {r.id: (r.p, r.f) for r in rows.select("id", S.densest_mention(F.col("text"), "the").alias("p"), S.densest_mention(F.col("text"), "the", first=256).alias("f")).collect()}
+    assert got == {1: (len(apart), 0), 2: (len(apart), 0), 3: (0, 0), 4: (0, 0)}
+    flat = "ion" + " far" * 100
+    shown = spark.createDataFrame([(flat * 300 + "ion ion ion",)], "text string").select(S.snippet(F.col("text"), "ion").alias("s")).first().s
+    assert shown.startswith("… ") and shown.endswith("ion ion ion")
+
+
 def test_a_snippet_flattens_its_text_once(spark):
     """Each use of the flat text, of its mentions and of their place worked them out again."""
     long = "word ion " * 400 + "x" * 300 + " ionion ion" + " tail" * 80
