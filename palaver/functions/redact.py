@@ -38,6 +38,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
 )
 #: Length of a run after an assignment, and alone on its line, from which it may be a secret; its least bits a character.
 ASSIGNED, ALONE, LONGEST, BITS = 20, 28, 256, 4.5
+_SUM = "decimal(38, 24)"
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _KINDS = tuple(re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
 
@@ -51,13 +52,16 @@ def entropy(token: str) -> float:
 def bits(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key and bits a character of each text, counted character by character in the JVM; an empty or null text has none (null).
 
-    The characters of a text meet as counts, at most as many as the text has different ones.
+    The characters of a text meet as counts, at most as many as the text has different ones. What each gives is added up in
+    decimals, the smallest count first: no text's last digits hang on the order in which tasks deliver, or on a large number
+    taken from another.
     """
     chars = rows.select(key, F.explode_outer(F.filter(F.split(text, ""), lambda c: c != "")).alias("__char"))
-    counts = chars.groupBy(key, "__char").agg(F.count("__char").alias("__n"))
-    log = F.when(F.col("__n") > 0, F.col("__n") * F.log2("__n"))
-    n = F.sum("__n")
-    return counts.groupBy(key).agg(F.when(n > 0, F.log2(n) - F.sum(log) / n).alias("bits"))
+    counts = chars.groupBy(key, "__char").agg(F.count("__char").cast("double").alias("__n"))
+    own = counts.groupBy(key).agg(F.array_sort(F.collect_list("__n")).alias("__each"), F.sum("__n").alias("__n"))
+    gives = lambda c: (c / F.col("__n") * F.log2(F.col("__n") / c)).cast(_SUM)
+    bits = F.aggregate("__each", F.lit(0).cast(_SUM), lambda a, c: (a + gives(c)).cast(_SUM), lambda a: a.cast("double"))
+    return own.select(key, F.when(F.col("__n") > 0, bits).alias("bits"))
 
 
 def is_random(token: str) -> bool:

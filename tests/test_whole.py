@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+from decimal import Decimal, localcontext
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +21,22 @@ def test_bits_of_odd_texts(spark):
     assert [got[k] for k in (1, 2, 5, 6)] == pytest.approx([0, 1, 1, 3])
 
 
+def test_bits_are_exact_to_the_last_digits(spark):
+    """Bits were what is left of one large number after another; at a boundary of the sixth digit that decides."""
+    rng, letters = random.Random(5), "".join(map(chr, range(97, 97 + 60)))
+    texts = ["".join(c * rng.randint(1, 3000) for c in letters) for _ in range(40)]
+
+    def exact(text):
+        with localcontext() as c:
+            c.prec = 40
+            p = [Decimal(k) / len(text) for k in Counter(text).values()]
+            return -sum(x * x.ln() for x in p) / Decimal(2).ln()
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    off = [abs(Decimal(r.bits) - exact(texts[r.id])) for r in R.bits(rows, "id").collect()]
+    assert len(off) == 40 and max(off) < Decimal("1e-15")
+
+
 def test_tombstones_name_sessions_by_prefix_and_project(spark):
     metas = spark.createDataFrame([(12, "a"), (123, "b"), (21, "c"), (3, None), (None, "d")], "session_id long, project string")
     rules = spark.createDataFrame([("id", "12"), ("id", "12"), ("project", "c"), ("project", None), ("id", None)], "kind string, value string")
